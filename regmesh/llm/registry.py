@@ -33,6 +33,13 @@ def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_maglev_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, slot and shard of every document, over 256 shards."""
+    from .maglev import place
+
+    return place(table(spark, sf_dir, "documents", "doc_id"), ["doc_id"], [f"shard-{i:04d}" for i in range(256)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: v for k, v in globals().items() if k.startswith("op")}
 
