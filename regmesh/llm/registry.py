@@ -40,6 +40,12 @@ def op3_maglev_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(table(spark, sf_dir, "documents", "doc_id"), ["doc_id"], [f"shard-{i:04d}" for i in range(256)])
 
 
+def op2_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: v for k, v in globals().items() if k.startswith("op")}
 
