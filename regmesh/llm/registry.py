@@ -54,6 +54,13 @@ def op6_match_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, coverage, verbatim and n_windows of each leak."""
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {k: v for k, v in globals().items() if k.startswith("op")}
 
