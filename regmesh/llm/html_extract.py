@@ -128,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
                 st.blocks.append(Block(text, links, st.heading, inside()))
                 if st.heading and aftermath < 0 and OPENS_AFTERMATH.match(text):
                     st.blocks[-1].inside = BAD
-                    aftermath = len(stack)
+                    aftermath = len(stack) - bool(stack and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit())
             st.parts.clear()
             st.link_parts.clear()
 
