@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,54 +34,125 @@ CAPACITY = 4096
 END = 1
 #: Texts of these characters are normal in form and split alike by Python; others go to the tokenizer whole.
 PLAIN = re.compile("[\t-\r -~À-ÿ]*")
-CACHE = 250_000
+#: The vocabulary's own split of a plain, lower-case word.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
+CACHE = 400_000
 
-_held: dict = {}
 
+class _Recent:
+    """Two generations of at most CACHE entries each: what is in use stays, the rest goes."""
 
-def _tokenizer(path: str):
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _held:
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look(self, keys, out: dict[str, bytes]) -> list[str]:
+        """Puts what is known into out; returns the keys that are not."""
+        young, old, missing = self.young, self.old, []
+        for k in keys:
+            v = young.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                young[k] = v
+            out[k] = v
+        return missing
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        if len(self.young) + len(new) > CACHE:
+            self.old, self.young = self.young, {}
+        self.young.update(new)
+
+
+class Encoder:
+    """Little-endian 32-bit ids of texts, without the end token.
+
+    The vocabulary splits at white space, and words into parts, before anything else;
+    so the ids of a plain text are those of its words' parts. Ids of words and parts
+    in recent use are kept. Any other text goes to the tokenizer whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _held[path] = (Tokenizer.from_file(path), {})
-    return _held[path]
+        self.tok = Tokenizer.from_file(path)
+        size = self.tok.get_vocab_size()
+        self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words, self.parts = _Recent(), _Recent()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _part_ids(self, parts: list[str]) -> dict[str, bytes]:
+        """All parts in one text; each ends with its one token that ends a word."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            ids = self._ids(" ".join(some))
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some) and stop[-1] == len(ids):
+                raw, low = ids.tobytes(), 0
+                for part, high in zip(some, (4 * stop).tolist(), strict=True):
+                    out[part] = raw[low:high]
+                    low = high
+            else:
+                out.update((part, self._ids(part).tobytes()) for part in some)
+        return out
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, in order."""
+        known: dict[str, bytes] = {}
+        missing = self.words.look(words, known)
+        if missing:
+            cut = [PARTS.findall(w.lower()) for w in missing]
+            part_ids: dict[str, bytes] = {}
+            fresh = self.parts.look({p for ps in cut for p in ps}, part_ids)
+            new_parts = self._part_ids(fresh)
+            self.parts.keep(new_parts)
+            part_ids.update(new_parts)
+            new = {w: part_ids[ps[0]] if len(ps) == 1 else b"".join([part_ids[p] for p in ps]) for w, ps in zip(missing, cut, strict=True)}
+            self.words.keep(new)
+            known.update(new)
+        return [known[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Words are split and numbered by Arrow; ids are gathered for all texts at once."""
+        plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        ids = self._word_ids(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[at]
+        ends = np.cumsum(sizes)
+        gathered = flat[np.repeat(first[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        return [gathered[bounds[i] : bounds[i + 1]].tobytes() if p else self._ids(t).tobytes() for i, (t, p) in enumerate(zip(texts, plain, strict=True))]
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, without the end token.
+    """Ids by the encoder that this process keeps for the vocabulary at path."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
-    The vocabulary splits at white space before anything else, so the ids of a plain
-    text are those of its words, and a word's ids are kept (up to CACHE words).
-    """
-    tok, cache = _tokenizer(path)
-    split, strange = [], []
-    fresh: dict[str, bytes] = {}
-    for t in texts:
-        if "<|" not in t and PLAIN.fullmatch(t):
-            words = t.split()
-            split.append(words)
-            fresh.update(dict.fromkeys(w for w in words if w not in cache))
-        else:
-            split.append(None)
-            strange.append(t)
-    new = list(fresh)
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            fresh[w] = np.array(e.ids, "<u4").tobytes()
-    if len(cache) + len(fresh) <= CACHE:
-        cache.update(fresh)
-        get = cache.__getitem__
-    else:
-        for w in new[: max(0, CACHE - len(cache))]:
-            cache[w] = fresh[w]
-
-        def get(w: str) -> bytes:
-            return fresh[w] if w in fresh else cache[w]
-
-    whole = iter([np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in strange])
-    return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+
+def _portions(batch: pa.RecordBatch, size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of whole texts, of about ``size`` bytes or one text each."""
+    sizes = np.cumsum([n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()])
+    low = 0
+    while low < batch.num_rows:
+        done = int(sizes[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(sizes, done + size, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,8 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in _portions(batch):
                 own, nth, start, length, crc = [], [], [], [], []
                 for i, raw in enumerate(encode(part.column(1).to_pylist(), tokenizer)):
                     raw += end
