@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,54 +45,55 @@ _PLACEHOLDER = {NUMBER: _xx(b"<number>"), NAME: _xx(b"<name>"), UNIT: _xx(b"<uni
 _BASE = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-class Canon:
-    """Words to template tokens; what a word is, is looked up once."""
-
-    LIMIT = 300_000
+class _Ids(dict):
+    """Words to numbers; a new word is classified once, when it is first looked up."""
 
-    def __init__(self):
-        self._clear()
+    def __init__(self, limit: int):
+        super().__init__()
+        self.lit = np.zeros(limit, np.uint64)
+        self.kind = np.zeros(limit, np.int8)
 
-    def _clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.lit: list[int] = []
-        self.kind: list[int] = []
-
-    def _add(self, w: str) -> int:
+    def __missing__(self, w: str) -> int:
         low = w.lower()
         if w in ".!?:\n":
             kind = MARK
-        elif any(c.isdigit() for c in w):
+        elif not w.isalpha():
             kind = NUMBER if w.isdigit() else LITERAL
         elif low in UNITS:
             kind = UNIT
-        elif len(w) > 1 and w[0].isupper() and w[1:].islower():
-            kind = NAME
         else:
-            kind = LITERAL
-        self.ids[w] = at = len(self.lit)
-        self.lit.append(_PLACEHOLDER[kind] if kind in (NUMBER, UNIT) else _xx(low.encode("utf-8", "surrogatepass")))
-        self.kind.append(kind)
+            kind = NAME if len(w) > 1 and w[0].isupper() and w[1:].islower() else LITERAL
+        at = len(self)
+        if at == len(self.lit):
+            self.lit, self.kind = np.resize(self.lit, 2 * at), np.resize(self.kind, 2 * at)
+        self.lit[at] = _PLACEHOLDER[kind] if kind in (NUMBER, UNIT) else _xx(low.encode("utf-8", "surrogatepass"))
+        self.kind[at] = kind
+        self[w] = at
         return at
 
-    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Token hashes, kinds and words, without sentence marks. A capital at a sentence start makes no name."""
+
+class Canon:
+    """Texts to templates; words of former texts are remembered, up to LIMIT."""
+
+    LIMIT = 500_000
+
+    def __init__(self):
+        self.ids = _Ids(1 << 16)
+
+    def template(self, text: str) -> tuple[np.ndarray, np.ndarray, Callable[[], list[str]]]:
+        """Token hashes, kinds, and a function that gives the words, all without sentence marks. A capital at a sentence start makes no name."""
         raw = TOKEN.findall(text)
-        if len(self.lit) > self.LIMIT:
-            self._clear()
+        if len(self.ids) > self.LIMIT:
+            self.ids = _Ids(1 << 16)
         ids = self.ids
-        for w in dict.fromkeys(raw):
-            if w not in ids:
-                self._add(w)
         at = np.fromiter(map(ids.__getitem__, raw), np.int64, len(raw))
-        used, flat = np.unique(at, return_inverse=True)
-        lit = np.array([self.lit[i] for i in used], np.uint64)[flat]
-        kind = np.array([self.kind[i] for i in used], np.int8)[flat]
+        lit, kind = ids.lit[at], ids.kind[at]
         first = np.concatenate([[True], kind[:-1] == MARK])[: len(kind)]
-        kind[(kind == NAME) & first] = LITERAL
-        lit[kind == NAME] = np.uint64(_PLACEHOLDER[NAME])
-        keep = kind != MARK
-        return lit[keep], kind[keep], [w for w, k in zip(raw, keep.tolist(), strict=True) if k]
+        name = kind == NAME
+        kind[name & first] = LITERAL
+        lit[name & ~first] = np.uint64(_PLACEHOLDER[NAME])
+        keep = np.flatnonzero(kind != MARK)
+        return lit[keep], kind[keep], lambda: [raw[i] for i in keep.tolist()]
 
 
 def window_hashes(lit: np.ndarray, size: int) -> np.ndarray:
@@ -117,7 +118,7 @@ def item_windows(items: list[tuple]) -> dict:
     for item, text in items:
         lit, kind, words = canon.template(text or "")
         size = min(WINDOW, len(lit))
-        held.append((item, size, kind, words))
+        held.append((item, size, kind, words()))
         if size < LEAST:
             continue
         sizes.add(size)
@@ -152,6 +153,7 @@ def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known:
     """(item, coverage, verbatim, windows) of each item that a text leaks."""
     lit, kind, words = canon.template(text)
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    told: list[str] = []
     for size in index["sizes"]:
         h = window_hashes(lit, size)
         at = np.flatnonzero(low_bits[(h & np.uint64(0xFFFFF)).astype(np.int64)])
@@ -164,7 +166,8 @@ def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known:
     out = []
     for item, pairs in sorted(found.items()):
         name, size, kinds, item_words = index["items"][item]
-        n, same, kept = consistent_cover(pairs, size, kinds, item_words, lambda p, s=size: words[p : p + s])
+        told = told or words()
+        n, same, kept = consistent_cover(pairs, size, kinds, item_words, lambda p, s=size, told=told: told[p : p + s])
         if n >= coverage * len(item_words):
             out.append((name, n / len(item_words), same, kept))
     return out
@@ -205,7 +208,8 @@ def _windows(rows: DataFrame, sizes: list[int] | None, id_type: str) -> DataFram
                 part = batch.slice(at, 32)
                 own, cols = [], [[] for _ in range(6)]
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    lit, kind, words = canon.template(t)
+                    lit, kind, told = canon.template(t)
+                    words = told()
                     for size in sizes if sizes is not None else [min(WINDOW, len(lit))]:
                         if size < LEAST:
                             continue
