@@ -3,7 +3,7 @@
 Writing: one record a page. Of pages with one payload of at least ``REVISIT_FROM``
 bytes the one with the smallest id is a response, the others revisit it. Spark's
 text writer ends each row with the four bytes that end a WARC record, so part files
-are WARC files, and its commit protocol covers lost tasks.
+are WARC files, gzipped whole, and its commit protocol covers lost tasks.
 
 Reading: tasks scan blocks of an archive for the version line and emit a candidate
 (file, offset, successor offset) wherever a header follows. Payloads may hold the
@@ -19,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -68,9 +69,9 @@ def _record_text(rows: DataFrame, date: str) -> DataFrame:
     return rows.select(F.concat(head, F.octet_length(block), F.lit("\r\n\r\n"), block).alias("record"))
 
 
-def write(pages: DataFrame, path: str, per_file: int = 1000, **names) -> None:
+def write(pages: DataFrame, path: str, per_file: int = 1000, compression: str = "gzip", **names) -> None:
     """WARC files of at most ``per_file`` records under path."""
-    records(pages, **names).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    records(pages, **names).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path, compression=compression)
 
 
 def parse_candidate(data: bytes, at: int) -> tuple[int, dict, int, int] | None:
@@ -102,6 +103,9 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, size, data = (batch.column(k)[i].as_py() for k in range(3))
+                if data[:2] == b"\x1f\x8b":  # offsets are those of the archive unpacked; members may follow one another
+                    data = gzip.decompress(data)
+                    size = len(data)
                 for low in range(0, max(1, size), BLOCK):  # a block's task takes what begins inside it
                     rows = []
                     for m in MAGIC.finditer(data, low, min(size, low + BLOCK + len(VERSION) - 1)):
