@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NonConvergenceError
 from ..scratch import cut
-from .moments import moments, pairs, product_sums, square
+from .moments import WIDE, moments, pairs, product_sums, square
 
 MAX_CELLS = 5_000_000
 
@@ -62,27 +62,34 @@ def absorb(frame: DataFrame, cols: list[Column], w: Column, fe: list[str], tol:
 
 def _one(frame: DataFrame, cols: list[Column], w: Column, fe: str) -> Absorbed:
     p = len(cols)
+    means = frame.groupBy(fe).agg(*[(F.sum(w * c) / F.sum(w)).alias(f"a{k}") for k, c in enumerate(cols)]).withColumnRenamed(fe, "__f")
+    if p > WIDE:  # products as matrices: of the rows, and of the group means
+        n, sums, m = moments(frame, cols, w)
+        groups = frame.groupBy(fe).agg(F.sum(w).alias("w"), *[F.sum(w * c).alias(f"s{k}") for k, c in enumerate(cols)])
+        count, _, g = moments(groups, [F.col(f"s{k}") / F.col("w") for k in range(p)], F.col("w"))
+        return Absorbed(n, m[0, 0], sums[1:], m[1:, 1:], m[1:, 1:] - g[1:, 1:], [int(count)], [means])
     groups = frame.groupBy(fe).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), *[F.sum(w * c).alias(f"s{k}") for k, c in enumerate(cols)], *[x.alias(f"q{i}") for i, x in enumerate(product_sums(cols, w))])
     got = groups.agg(
         F.sum("n"), F.sum("w"), F.count(F.lit(1)), *[F.sum(f"s{k}") for k in range(p)], *[F.sum(f"q{i}") for i in range(len(pairs(p)))],
         *[F.sum(F.col(f"q{i}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("w")) for i, (a, b) in enumerate(pairs(p))],
     ).first()
     q = len(pairs(p))
-    means = frame.groupBy(fe).agg(*[(F.sum(w * c) / F.sum(w)).alias(f"a{k}") for k, c in enumerate(cols)]).withColumnRenamed(fe, "__f")
     return Absorbed(float(got[0] or 0), float(got[1] or 0), np.array([v or 0.0 for v in got[3 : 3 + p]]), square(got[3 + p : 3 + p + q], p), square(got[3 + p + q :], p), [int(got[2])], [means])
 
 
 def cells_of(frame: DataFrame, cols: list[Column], w: Column, fe: list[str]) -> DataFrame:
-    return frame.groupBy(*fe).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), *[F.sum(w * c).alias(f"s{k}") for k, c in enumerate(cols)], *[x.alias(f"q{i}") for i, x in enumerate(product_sums(cols, w))])
+    products = product_sums(cols, w) if len(cols) <= WIDE else []
+    return frame.groupBy(*fe).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), *[F.sum(w * c).alias(f"s{k}") for k, c in enumerate(cols)], *[x.alias(f"q{i}") for i, x in enumerate(products)])
 
 
 def _several(frame: DataFrame, cols: list[Column], w: Column, fe: list[str], tol: float, max_iter: int, max_cells: int) -> Absorbed:
-    p, q = len(cols), len(pairs(len(cols)))
+    p = len(cols)
+    q = len(pairs(p)) if p <= WIDE else 0
     cells = cells_of(frame, cols, w, fe).persist()
     try:
         got = cells.agg(F.count(F.lit(1)), F.sum("n"), F.sum("w"), *[F.sum(f"s{k}") for k in range(p)], *[F.sum(f"q{i}") for i in range(q)], *[F.count_distinct(f) for f in fe]).first()
         count, n, sum_w = int(got[0]), float(got[1] or 0), float(got[2] or 0)
-        sums, total, k_fe = np.array([v or 0.0 for v in got[3 : 3 + p]]), square(got[3 + p : 3 + p + q], p), [int(v) for v in got[3 + p + q :]]
+        sums, total, k_fe = np.array([v or 0.0 for v in got[3 : 3 + p]]), square(got[3 + p : 3 + p + q], p) if q else moments(frame, cols, w)[2][1:, 1:], [int(v) for v in got[3 + p + q :]]
         if count > max_cells:
             return _sweeps(cells, fe, p, n, sum_w, sums, total, k_fe, max(tol, 1e-9), max_iter)
         table = cells.select(*fe, "w", *[f"s{k}" for k in range(p)]).toPandas()  # at most max_cells rows
@@ -111,7 +118,15 @@ def _add_up(codes: np.ndarray, size: int, v: np.ndarray) -> np.ndarray:
 
 def solve_levels(codes: list[np.ndarray], sizes: list[int], w: np.ndarray, s: np.ndarray, tol: float, max_iter: int) -> tuple[list[np.ndarray], int, float]:
     """Level values (one array an effect) that leave all weighted level sums of the residual at zero; s: weighted sums by cell."""
-    p = s.shape[1]
+    alphas, iterations = solve_normal(codes, sizes, w, [_add_up(c, m, s) for c, m in zip(codes, sizes, strict=True)], tol, max_iter)
+    left = s - w[:, None] * sum(a[c] for a, c in zip(alphas, codes, strict=True))
+    mass = [np.bincount(c, weights=w, minlength=m) for c, m in zip(codes, sizes, strict=True)]
+    gap = max(float(np.abs(_add_up(c, m, left) / g[:, None]).max(initial=0.0)) for c, m, g in zip(codes, sizes, mass, strict=True)) if s.shape[1] else 0.0
+    return alphas, iterations, gap
+
+
+def solve_normal(codes: list[np.ndarray], sizes: list[int], w: np.ndarray, rhs: list[np.ndarray], tol: float = 1e-10, max_iter: int = 10_000) -> tuple[list[np.ndarray], int]:
+    """Solves the normal equations of the effects' indicators for right-hand sides given by level."""
     big = int(np.argmax(sizes))
     rest = [i for i in range(len(codes)) if i != big]
     mass = [np.bincount(c, weights=w, minlength=m) for c, m in zip(codes, sizes, strict=True)]
@@ -124,12 +139,16 @@ def solve_levels(codes: list[np.ndarray], sizes: list[int], w: np.ndarray, s: np
         r = v - w[:, None] * (_add_up(codes[big], sizes[big], v) / mass[big][:, None])[codes[big]]
         return [_add_up(codes[i], sizes[i], r) for i in rest]
 
+    if not rest:
+        return [rhs[big] / mass[big][:, None]], 0
+
     stack = np.concatenate
     cuts = np.cumsum([sizes[i] for i in rest])[:-1]
     split = lambda x: np.split(x, cuts)
     matvec = lambda x: stack(onto(w[:, None] * spread(split(x))))
     scale = 1.0 / stack([mass[i] for i in rest])[:, None]
-    b = stack(onto(s))
+    pulled = w[:, None] * (rhs[big] / mass[big][:, None])[codes[big]]
+    b = stack([rhs[i] - _add_up(codes[i], sizes[i], pulled) for i in rest])
     x, r = np.zeros_like(b), b.copy()
     z = scale * r
     d, rz = z.copy(), (r * z).sum(axis=0)
@@ -152,10 +171,8 @@ def solve_levels(codes: list[np.ndarray], sizes: list[int], w: np.ndarray, s: np
     alphas: list = [None] * len(codes)
     for i, v in zip(rest, split(x), strict=True):
         alphas[i] = v
-    alphas[big] = _add_up(codes[big], sizes[big], s - w[:, None] * spread(split(x))) / mass[big][:, None]
-    left = s - w[:, None] * sum(a[c] for a, c in zip(alphas, codes, strict=True))
-    gap = max(float(np.abs(_add_up(c, m, left) / g[:, None]).max(initial=0.0)) for c, m, g in zip(codes, sizes, mass, strict=True)) if p else 0.0
-    return alphas, iterations, gap
+    alphas[big] = (rhs[big] - _add_up(codes[big], sizes[big], w[:, None] * spread(split(x)))) / mass[big][:, None]
+    return alphas, iterations
 
 
 def _sweeps(cells: DataFrame, fe: list[str], p: int, n: float, sum_w: float, sums, total, k_fe: list[int], tol: float, max_iter: int) -> Absorbed:
@@ -183,7 +200,9 @@ def _sweeps(cells: DataFrame, fe: list[str], p: int, n: float, sum_w: float, sum
             break
     else:
         raise NonConvergenceError(f"absorption did not converge in {max_iter} sweeps")
-    gram = square(now.agg(*[F.sum(F.col("w") * F.col(f"m{i}") * (F.col(f"m{j}") - F.col(f"r{j}"))) for i, j in pairs(p)]).first(), p)
+    # what the sweeps took out is orthogonal to what they left
+    both = moments(now, [*[F.col(f"m{k}") for k in range(p)], *[F.col(f"r{k}") for k in range(p)]], F.col("w"))[2][1:, 1:]
+    gram = both[:p, :p] - 0.5 * (both[:p, p:] + both[:p, p:].T)
     levels = [now.groupBy(f).agg(*[F.first(f"a{i}_{k}").alias(f"a{k}") for k in range(p)]).withColumnRenamed(f, "__f") for i, f in enumerate(fe)]
     return Absorbed(n, sum_w, sums, total, total - gram, k_fe, levels, iterations, gap)
 
