@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,8 +64,25 @@ def text_of(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Keeps Arrow batches of whole texts small: texts are long, and the default is ten thousand rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def trim_memory() -> None:
+    """Gives freed memory of this Python worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow with fn(lists by column name) -> lists by output name; whole texts, a few MB of them at a time."""
+    small_batches(df.sparkSession)
     out_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import small_batches, text_of, trim_memory
 
 WINDOW = 8
 LEAST = 5
@@ -75,7 +75,7 @@ class _Ids(dict):
 class Canon:
     """Texts to templates; words of former texts are remembered, up to LIMIT."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self):
         self.ids = _Ids(1 << 16)
@@ -194,7 +194,10 @@ def _by_map(docs: DataFrame, index: dict, coverage: float, schema: str) -> DataF
                     [part.column(0).take(pa.array(own, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
                     names=["doc_id", "item_id", "coverage", "verbatim", "n_windows"],
                 )
+        del canon
+        trim_memory()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

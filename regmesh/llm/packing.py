@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, small_batches, text_of, trim_memory
 
 CAPACITY = 4096
 END = 1
@@ -46,19 +46,19 @@ class _Recent:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def look(self, keys, out: dict[str, bytes]) -> list[str]:
-        """Puts what is known into out; returns the keys that are not."""
-        young, old, missing = self.young, self.old, []
-        for k in keys:
-            v = young.get(k)
+    def look(self, keys: list[str]) -> tuple[list, list[int]]:
+        """Values in the order of the keys, None where unknown, and the places of those."""
+        young, old = self.young, self.old
+        values = list(map(young.get, keys))
+        unknown = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            k = keys[i]
+            v = old.get(k)
             if v is None:
-                v = old.get(k)
-                if v is None:
-                    missing.append(k)
-                    continue
-                young[k] = v
-            out[k] = v
-        return missing
+                unknown.append(i)
+            else:
+                young[k] = values[i] = v
+        return values, unknown
 
     def keep(self, new: dict[str, bytes]) -> None:
         if len(self.young) + len(new) > CACHE:
@@ -104,19 +104,20 @@ class Encoder:
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, in order."""
-        known: dict[str, bytes] = {}
-        missing = self.words.look(words, known)
-        if missing:
-            cut = [PARTS.findall(w.lower()) for w in missing]
-            part_ids: dict[str, bytes] = {}
-            fresh = self.parts.look({p for ps in cut for p in ps}, part_ids)
-            new_parts = self._part_ids(fresh)
+        values, unknown = self.words.look(words)
+        if unknown:
+            cut = [PARTS.findall(words[i].lower()) for i in unknown]
+            parts = list({p for ps in cut for p in ps})
+            part_values, fresh = self.parts.look(parts)
+            part_ids = dict(zip(parts, part_values, strict=True))
+            new_parts = self._part_ids([parts[i] for i in fresh])
             self.parts.keep(new_parts)
             part_ids.update(new_parts)
-            new = {w: part_ids[ps[0]] if len(ps) == 1 else b"".join([part_ids[p] for p in ps]) for w, ps in zip(missing, cut, strict=True)}
+            new = {}
+            for i, ps in zip(unknown, cut, strict=True):
+                new[words[i]] = values[i] = part_ids[ps[0]] if len(ps) == 1 else b"".join([part_ids[p] for p in ps])
             self.words.keep(new)
-            known.update(new)
-        return [known[w] for w in words]
+        return values
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Words are split and numbered by Arrow; ids are gathered for all texts at once."""
@@ -125,12 +126,10 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         ids = self._word_ids(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = size[at]
-        ends = np.cumsum(sizes)
-        gathered = flat[np.repeat(first[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        by_word = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        in_order = by_word.take(coded.indices)
+        gathered = in_order.values.to_numpy()
+        bounds = in_order.offsets.to_numpy()[split.offsets.to_numpy()] if len(in_order) else np.zeros(len(texts) + 1, np.int64)
         return [gathered[bounds[i] : bounds[i + 1]].tobytes() if p else self._ids(t).tobytes() for i, (t, p) in enumerate(zip(texts, plain, strict=True))]
 
 
@@ -144,15 +143,17 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     return _encoders[path].encode(texts)
 
 
-def _portions(batch: pa.RecordBatch, size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of whole texts, of about ``size`` bytes or one text each."""
-    sizes = np.cumsum([n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()])
-    low = 0
-    while low < batch.num_rows:
-        done = int(sizes[low - 1]) if low else 0
-        high = max(low + 1, int(np.searchsorted(sizes, done + size, side="right")))
-        yield batch.slice(low, high - low)
-        low = high
+def _portions(batches: Iterator[pa.RecordBatch], size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of whole texts together, until they pass ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column(1).nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,23 +162,24 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _portions(batch):
-                own, nth, start, length, crc = [], [], [], [], []
-                for i, raw in enumerate(encode(part.column(1).to_pylist(), tokenizer)):
-                    raw += end
-                    for k, s in enumerate(range(0, len(raw), 4 * capacity)):
-                        cut = raw[s : s + 4 * capacity]
-                        own.append(i)
-                        nth.append(k)
-                        start.append(s // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(own, pa.int64())), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
-                )
+        for part in _portions(batches):
+            own, nth, start, length, crc = [], [], [], [], []
+            for i, raw in enumerate(encode(part.column(1).to_pylist(), tokenizer)):
+                raw += end
+                for k, s in enumerate(range(0, len(raw), 4 * capacity)):
+                    cut = raw[s : s + 4 * capacity]
+                    own.append(i)
+                    nth.append(k)
+                    start.append(s // 4)
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(own, pa.int64())), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
+        trim_memory()
 
+    small_batches(docs.sparkSession)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 

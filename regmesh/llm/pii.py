@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, text_of
+from .common import arrow_map, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 24
@@ -399,6 +399,7 @@ def mask(text: str, field: Field) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data masked in the text column; null texts stay null and all other columns stay."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(train())
 
     @F.pandas_udf("string")

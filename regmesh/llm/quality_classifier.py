@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, text_of
+from .common import arrow_map, crc_mod, small_batches, text_of
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = b"0123456789"
@@ -157,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fold: int
 
 def scorer(docs: DataFrame, model: Model):
     """A column function text -> score that applies the model on executors."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes, whatever the input
 
     @F.pandas_udf("double")

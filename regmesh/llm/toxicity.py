@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, text_of
+from .common import arrow_map, crc_mod, small_batches, text_of
 
 WORDS = re.compile(r"\w+")
 BITS = 18
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, fold: int =
 
 def scorer(docs: DataFrame, machine: Machine):
     """A column function text -> score; its size is set by BITS and the kept terms."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
