@@ -34,4 +34,6 @@ def intake(spark: SparkSession, data: Any) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     w = df.write.format(fmt).mode(mode)
+    if fmt == "csv":
+        w = w.option("header", "true")
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
