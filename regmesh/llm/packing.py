@@ -34,44 +34,34 @@ CAPACITY = 4096
 END = 1
 #: Texts of these characters are normal in form and split alike by Python; others go to the tokenizer whole.
 PLAIN = re.compile("[\t-\r -~À-ÿ]*")
-#: The vocabulary's own split of a plain, lower-case word.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
-CACHE = 400_000
+#: Fixed value: the vocabulary's own split of plain, lower-case text, for RE2.
+PARTS = "'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\t-\\r a-zß-öø-ÿ0-9]+"
+CACHE = 600_000
 
 
 class _Recent:
-    """Two generations of at most CACHE entries each: what is in use stays, the rest goes."""
+    """At most about CACHE entries; when they are full it starts anew, and what is in use soon comes back."""
 
     def __init__(self):
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.held: dict[str, bytes] = {}
 
     def look(self, keys: list[str]) -> tuple[list, list[int]]:
         """Values in the order of the keys, None where unknown, and the places of those."""
-        young, old = self.young, self.old
-        values = list(map(young.get, keys))
-        unknown = []
-        for i in [i for i, v in enumerate(values) if v is None]:
-            k = keys[i]
-            v = old.get(k)
-            if v is None:
-                unknown.append(i)
-            else:
-                young[k] = values[i] = v
-        return values, unknown
+        values = list(map(self.held.get, keys))
+        return values, [i for i, v in enumerate(values) if v is None]
 
     def keep(self, new: dict[str, bytes]) -> None:
-        if len(self.young) + len(new) > CACHE:
-            self.old, self.young = self.young, {}
-        self.young.update(new)
+        if len(self.held) + len(new) > CACHE:
+            self.held = {}
+        self.held.update(new)
 
 
 class Encoder:
     """Little-endian 32-bit ids of texts, without the end token.
 
-    The vocabulary splits at white space, and words into parts, before anything else;
-    so the ids of a plain text are those of its words' parts. Ids of words and parts
-    in recent use are kept. Any other text goes to the tokenizer whole.
+    The vocabulary splits a text into parts before anything else, so the ids of a plain
+    text are those of its parts. Ids of parts in recent use are kept. Any other text goes
+    to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -81,14 +71,15 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         size = self.tok.get_vocab_size()
         self.ends = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words, self.parts = _Recent(), _Recent()
+        self.parts = _Recent()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _part_ids(self, parts: list[str]) -> dict[str, bytes]:
         """All parts in one text; each ends with its one token that ends a word."""
-        out: dict[str, bytes] = {}
+        out: dict[str, bytes] = {"": b""}
+        parts = [p for p in parts if p]
         for at in range(0, len(parts), 20_000):
             some = parts[at : at + 20_000]
             ids = self._ids(" ".join(some))
@@ -102,29 +93,23 @@ class Encoder:
                 out.update((part, self._ids(part).tobytes()) for part in some)
         return out
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, in order."""
-        values, unknown = self.words.look(words)
+    def _known_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, in order."""
+        values, unknown = self.parts.look(parts)
         if unknown:
-            cut = [PARTS.findall(words[i].lower()) for i in unknown]
-            parts = list({p for ps in cut for p in ps})
-            part_values, fresh = self.parts.look(parts)
-            part_ids = dict(zip(parts, part_values, strict=True))
-            new_parts = self._part_ids([parts[i] for i in fresh])
-            self.parts.keep(new_parts)
-            part_ids.update(new_parts)
-            new = {}
-            for i, ps in zip(unknown, cut, strict=True):
-                new[words[i]] = values[i] = part_ids[ps[0]] if len(ps) == 1 else b"".join([part_ids[p] for p in ps])
-            self.words.keep(new)
+            new = self._part_ids([parts[i] for i in unknown])
+            for i in unknown:
+                values[i] = new[parts[i]]
+            self.parts.keep(new)
         return values
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Words are split and numbered by Arrow; ids are gathered for all texts at once."""
+        """Parts are split and numbered by Arrow; ids are gathered for all texts at once."""
         plain = ["<|" not in t and PLAIN.fullmatch(t) is not None for t in texts]
-        split = pc.ascii_split_whitespace(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        lower = pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string()))
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, PARTS, r"\0 "))
         coded = split.flatten().dictionary_encode()
-        ids = self._word_ids(coded.dictionary.to_pylist())
+        ids = self._known_ids(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         by_word = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(np.frombuffer(b"".join(ids), "<u4")))
         in_order = by_word.take(coded.indices)
