@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators.absorb import Demeaner
 from .operators.glm import GlmModel
 from .operators.model import LinearModel, Options, Vcov
 from .operators.ols import Ssc
@@ -124,26 +125,33 @@ def _checked(data: DataFrame) -> DataFrame:
     raise TypeError("data must be a Spark DataFrame; regmesh.sources.frames.intake() reads pandas and Arrow tables")
 
 
+def _options(ssc, weights_type: str, collin_tol: float, solver: str, fixef_rm: str, tol: float, max_iter: int, max_cells: int | None, demeaner: Demeaner | None) -> Options:
+    if weights_type not in ("aweights", "fweights") or fixef_rm not in ("singleton", "none"):
+        raise ValueError("weights_type is aweights or fweights; fixef_rm is singleton or none")
+    d = demeaner or Demeaner(tol=tol, max_iter=max_iter, **({} if max_cells is None else {"max_cells": max_cells}))
+    return Options(ssc or Ssc(), weights_type, collin_tol, solver, fixef_rm, d.tol, d.max_iter, d.cells)
+
+
 def feols(
     fml: str, data: DataFrame, vcov: Vcov = None, vcov_kwargs: dict | None = None, weights: str | None = None, ssc: Ssc | None = None, fixef_rm: str = "singleton", collin_tol: float = 1e-9, drop_intercept: bool = False,
-    weights_type: str = "aweights", solver: str = "scipy.linalg.solve", context: dict | None = None, split: str | None = None, fsplit: str | None = None, tol: float = 1e-10, max_iter: int = 10_000, max_cells: int | None = None, cache: bool = True,
+    weights_type: str = "aweights", solver: str = "scipy.linalg.solve", context: dict | None = None, split: str | None = None, fsplit: str | None = None, tol: float = 1e-10, max_iter: int = 10_000, max_cells: int | None = None, demeaner: Demeaner | None = None, cache: bool = True,
 ) -> LinearModel | MultiModel:
     """Least squares with fixed effects and instruments; several models come as a MultiModel."""
-    options = Options(ssc or Ssc(), weights_type, collin_tol, solver, fixef_rm, tol, max_iter, **({} if max_cells is None else {"max_cells": max_cells}))
+    options = _options(ssc, weights_type, collin_tol, solver, fixef_rm, tol, max_iter, max_cells, demeaner)
     return _estimate(fml, _checked(data), lambda d, part, s: LinearModel(d, part, options, s), vcov, vcov_kwargs, split, fsplit, cache, weights=weights, drop_intercept=drop_intercept, context=context)
 
 
 def feglm(
     fml: str, data: DataFrame, family: str, vcov: Vcov = None, vcov_kwargs: dict | None = None, weights: str | None = None, offset: str | None = None, ssc: Ssc | None = None, fixef_rm: str = "singleton", collin_tol: float = 1e-9,
     drop_intercept: bool = False, weights_type: str = "aweights", iwls_tol: float = 1e-8, iwls_maxiter: int = 25, separation_check: list[str] | None = None, context: dict | None = None, split: str | None = None, fsplit: str | None = None,
-    tol: float = 1e-10, max_iter: int = 10_000, max_cells: int | None = None, cache: bool = True,
+    tol: float = 1e-10, max_iter: int = 10_000, max_cells: int | None = None, demeaner: Demeaner | None = None, cache: bool = True,
 ) -> GlmModel | MultiModel:
     """Generalised linear models with fixed effects: logit, probit, gaussian, poisson."""
     if offset and family != "poisson":
         raise ValueError("an offset is available for the poisson family")
     if any(f.is_iv for f in Formula.parse(fml)):
         raise ValueError("generalised linear models take no instruments")
-    options = Options(ssc or Ssc(), weights_type, collin_tol, "scipy.linalg.solve", fixef_rm, tol, max_iter, **({} if max_cells is None else {"max_cells": max_cells}))
+    options = _options(ssc, weights_type, collin_tol, "scipy.linalg.solve", fixef_rm, tol, max_iter, max_cells, demeaner)
     checks = ["fe"] if separation_check is None else separation_check
 
     def make(d, part, s):

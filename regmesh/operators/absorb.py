@@ -11,6 +11,7 @@ group means run as joins over the cell table, cut in the shared folder.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,24 @@ from .moments import WIDE, moments, pairs, product_sums, square
 MAX_CELLS = 5_000_000
 
 
+@dataclass(frozen=True)
+class Demeaner:
+    """How effects are absorbed. method: auto (level solve, sweeps beyond max_cells), cg or map (always sweeps)."""
+
+    method: str = "auto"
+    tol: float = 1e-10
+    max_iter: int = 10_000
+    max_cells: int = MAX_CELLS
+
+    def __post_init__(self):
+        if self.method not in ("auto", "cg", "map"):
+            raise ValueError("method is auto, cg or map")
+
+    @property
+    def cells(self) -> int:
+        return {"auto": self.max_cells, "cg": 1 << 40, "map": 0}[self.method]
+
+
 @dataclass
 class Absorbed:
     """gram: weighted products of the absorbed columns; levels: by effect a table (__f, a0..) of what to subtract."""
@@ -37,6 +56,7 @@ class Absorbed:
     levels: list[DataFrame] = field(default_factory=list)
     iterations: int = 0
     gap: float = 0.0
+    local: list[pd.DataFrame] | None = None  # the level tables where the driver solved for them
 
     def demean(self, frame: DataFrame, fe: list[str], cols: list[Column], names: list[str]) -> DataFrame:
         """frame with the absorbed columns under the names."""
@@ -87,10 +107,11 @@ def _several(frame: DataFrame, cols: list[Column], w: Column, fe: list[str], tol
     q = len(pairs(p)) if p <= WIDE else 0
     cells = cells_of(frame, cols, w, fe).persist()
     try:
-        got = cells.agg(F.count(F.lit(1)), F.sum("n"), F.sum("w"), *[F.sum(f"s{k}") for k in range(p)], *[F.sum(f"q{i}") for i in range(q)], *[F.count_distinct(f) for f in fe]).first()
+        got = cells.agg(F.count(F.lit(1)), F.sum("n"), F.sum("w"), *[F.sum(f"s{k}") for k in range(p)], *[F.sum(f"q{i}") for i in range(q)]).first()
         count, n, sum_w = int(got[0]), float(got[1] or 0), float(got[2] or 0)
-        sums, total, k_fe = np.array([v or 0.0 for v in got[3 : 3 + p]]), square(got[3 + p : 3 + p + q], p) if q else moments(frame, cols, w)[2][1:, 1:], [int(v) for v in got[3 + p + q :]]
+        sums, total = np.array([v or 0.0 for v in got[3 : 3 + p]]), square(got[3 + p : 3 + p + q], p) if q else moments(frame, cols, w)[2][1:, 1:]
         if count > max_cells:
+            k_fe = [cells.select(f).distinct().count() for f in fe]
             return _sweeps(cells, fe, p, n, sum_w, sums, total, k_fe, max(tol, 1e-9), max_iter)
         table = cells.select(*fe, "w", *[f"s{k}" for k in range(p)]).toPandas()  # at most max_cells rows
     finally:
@@ -100,16 +121,18 @@ def _several(frame: DataFrame, cols: list[Column], w: Column, fe: list[str], tol
         c, u = pd.factorize(table[f])
         codes.append(c.astype(np.int64))
         names.append(u)
+    k_fe = [len(u) for u in names]
     weight, s = table["w"].to_numpy(float), table[[f"s{k}" for k in range(p)]].to_numpy(float)
     alphas, iterations, gap = solve_levels(codes, [len(u) for u in names], weight, s, tol, max_iter)
     fitted = sum(a[c] for a, c in zip(alphas, codes, strict=True))
     gram = total - s.T @ fitted
-    levels = []
+    levels, local = [], []
     for f, u, a in zip(fe, names, alphas, strict=True):
         out = pd.DataFrame(a, columns=[f"a{k}" for k in range(p)])
         out.insert(0, "__f", np.asarray(u))
+        local.append(out)
         levels.append(frame.sparkSession.createDataFrame(out, f"__f {frame.schema[f].dataType.simpleString()}, " + ", ".join(f"a{k} double" for k in range(p))))
-    return Absorbed(n, sum_w, sums, total, 0.5 * (gram + gram.T), k_fe, levels, iterations, gap)
+    return Absorbed(n, sum_w, sums, total, 0.5 * (gram + gram.T), k_fe, levels, iterations, gap, local)
 
 
 def _add_up(codes: np.ndarray, size: int, v: np.ndarray) -> np.ndarray:
@@ -211,16 +234,13 @@ def drop_singletons(frame: DataFrame, fe: list[str], max_cells: int = MAX_CELLS)
     """frame without rows whose level of some effect occurs once, repeated until nothing changes; and the rows dropped."""
     if not fe:
         return frame, 0
+    # level counts first, effect by effect: mostly no level is alone, and then that is all
+    lone = reduce(lambda x, y: x.unionByName(y), [frame.groupBy(F.col(f).alias("f")).agg(F.count(F.lit(1)).alias("k")).agg(F.min("k").alias("k")) for f in fe])
+    if (lone.agg(F.min("k")).first()[0] or 2) > 1:
+        return frame, 0
     cells = frame.groupBy(*fe).agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        levels = [cells.groupBy(f).agg(F.sum("n").alias("k")) for f in fe]
-        lone = cells.sparkSession.createDataFrame([(0,)], "z int").select(*[F.lit(None).cast("long").alias("x")]).limit(0)
-        for t in levels:
-            lone = lone.unionByName(t.where("k = 1").select(F.col("k").alias("x")))
-        if not lone.agg(F.count(F.lit(1))).first()[0]:
-            return frame, 0
-        size = cells.count()
-        if size > max_cells:
+        if cells.count() > max_cells:
             return _drop_by_joins(frame, cells, fe)
         table = cells.toPandas()  # at most max_cells rows
     finally:

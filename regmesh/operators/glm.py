@@ -204,7 +204,11 @@ class GlmModel(LinearModel):
             slopes = spd_inverse(gram[1:, 1:]) @ gram[1:, 0] if len(active) else np.zeros(0)
             shift = float(centre[active] @ slopes) if len(active) else 0.0
             if d.fe:
-                fresh = [self._small(t.select("__f", (F.col("a0") - _linear([F.col(f"a{j}") for j in sel[1:]], slopes)).alias("c"))) for t in got.levels]
+                if got.local is not None:  # the driver has the tables: no job is needed to cut their lineage
+                    spark = self.frame.sparkSession
+                    fresh = [spark.createDataFrame(t[["__f"]].assign(c=t["a0"] - t[[f"a{j}" for j in sel[1:]]].to_numpy() @ slopes), f"__f {self.frame.schema[f].dataType.simpleString()}, c double") for t, f in zip(got.local, d.f, strict=True)]
+                else:
+                    fresh = [self._small(t.select("__f", (F.col("a0") - _linear([F.col(f"a{j}") for j in sel[1:]], slopes)).alias("c"))) for t in got.levels]
                 new = (fresh, slopes, -shift)
             elif self.intercept:
                 means = m[0, 1:][sel] / m[0, 0]

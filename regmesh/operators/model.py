@@ -179,7 +179,7 @@ class LinearModel:
     def vcov(self, vcov: Vcov = None, vcov_kwargs: dict | None = None, ssc: Ssc | None = None) -> LinearModel:
         """Sets the covariance; returns the model itself."""
         vcov, ssc, kw = vcov or "iid", ssc or self.options.ssc, vcov_kwargs or {}
-        self.vcov_type = vcov
+        self.vcov_type, self.vcov_kwargs = vcov, kw
         fe = (sum(self.k_fe), len(self.k_fe))
         self.G: list[int] = []
         if isinstance(vcov, dict):
@@ -523,7 +523,7 @@ class LinearModel:
         stage = type(f)(f.text, f.endogenous[0][0], f.exogenous + f.instruments, f.intercept, f.fixed_effects)
         data = self.frame.select(*[F.col(f"`{c}`") for c in self.data.columns])
         m = LinearModel(build(stage, data, weights=self.design.spec["weights"], context=self.design.spec["context"]), data, self.options)
-        return m.vcov(self.vcov_type)
+        return m.vcov(self.vcov_type, self.vcov_kwargs)
 
     def iv_diag(self) -> dict[str, float]:
         """First-stage F on the excluded instruments, and the effective F of Olea and Pflueger."""

@@ -24,7 +24,8 @@ from .model import LinearModel, Options, _linear
 from .moments import product_sums, square
 from .ols import Ssc, independent_columns, spd_inverse
 
-DIRECT_ROWS = 400_000
+DIRECT_ROWS = 2_000_000
+DIRECT_VALUES = 10_000_000  # rows times columns that the driver gathers at most
 
 
 def interior_point(x: np.ndarray, y: np.ndarray, tau: float, tol: float = 1e-9, max_iter: int = 200) -> np.ndarray:
@@ -125,6 +126,7 @@ class QuantileModel(LinearModel):
         self.x_at, self.coefnames = 1 + keep, [d.x_names[i] for i in keep]
         self.xx, self.k = xx[np.ix_(keep, keep)], len(keep)
         self.xc = [d.x[i] for i in keep]
+        self.direct_rows = min(self.direct_rows, DIRECT_VALUES // (self.k + 1))
         self.beta = self._solve_at(self.quantile, self.start)
         self.bread = spd_inverse(self.xx)
         self.rss = self.tss = float("nan")
@@ -211,7 +213,8 @@ class QuantileModel(LinearModel):
             f = float(rows.agg(F.sum((F.abs("__u") < hk).cast("double"))).first()[0]) / (2 * n * hk)
             self.V = adj * tau * (1 - tau) / f**2 * self.bread
         elif vcov == "nid":
-            up, down = self._solve_at(tau + h, self.beta if n > self.direct_rows else None), self._solve_at(tau - h, self.beta if n > self.direct_rows else None)
+            warm = self.beta if n > self.direct_rows else None
+            up, down = self._solve_at(tau + h, warm), self._solve_at(tau - h, warm)
             di = _linear(x, up - down) - F.lit(math.sqrt(np.finfo(float).eps))
             f = F.when(di > 0, 2 * h / di).otherwise(0.0)
             inv = spd_inverse(square(self.frame.agg(*product_sums(x, f)).first(), self.k))
