@@ -28,9 +28,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each near-duplicate group the document with the smallest id, once."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.lit(True).alias("is_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n"))
+    firsts = Scratch(spark, "kept").cut(firsts)  # ids alone: the texts are joined to them once
+    # the ids grow with the corpus: merged at every size, never broadcast
+    only = lambda ids: docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    repeated = firsts.where("n > 1")
+    if repeated.isEmpty():
+        return only(firsts)
+    return only(firsts.where("n = 1")).unionByName(only(repeated).dropDuplicates(["doc_id"]))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,8 @@ The windows of the benchmark travel to the tasks only while they number at most
 
 Defined results: null or wordless texts match nothing; items shorter than a window
 are matched whole, those under ``LEAST`` tokens never; null item ids are kept as
-null; repeated document rows give repeated pairs once (pairs are distinct by
-document row in the map path and by id in the shuffle path, then made distinct);
-empty tables give an empty result; other columns are ignored.
+null; repeated document rows give a pair once; empty tables give an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of, trim_memory
+from .common import Scratch, small_batches, text_of, trim_memory
 
 WINDOW = 8
 LEAST = 5
@@ -263,4 +262,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, broadcas
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without the documents that leak; rows with a null id are judged by no pair and stay."""
     found = leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
+    found = Scratch(docs.sparkSession, "leaks").cut(found)  # its size is then known: a small one is broadcast, and texts stay where they are
     return docs.join(found, id_col, "left_anti")

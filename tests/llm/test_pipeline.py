@@ -40,3 +40,9 @@ def test_stages_match_brute_force(spark, tiny_dir):
 
 def test_run_on_the_small_table(spark, tiny_dir):
     assert cp.run(spark, tiny_dir).count() > 0
+
+
+def test_repeated_rows_stay_once(spark, tiny_dir):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, None), (4, "other words are here in this text"), (None, "alone in the null group of this table")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in cp.near_duplicates(spark, docs, tiny_dir).collect()) == [0, 1, 3, 4]
