@@ -12,8 +12,13 @@ the item's tokens.
 The windows of the benchmark travel to the tasks only while they number at most
 ``broadcast_windows``; a larger benchmark is joined by shuffle, with the same result.
 
+Templates of placeholders alone say nothing, so windows with fewer than half literal
+tokens, and items under ``LEAST`` tokens, match on their words (case aside) instead.
+So do windows with a capitalised word, besides their template, as its type depends on
+the text around it: verbatim copies always count.
+
 Defined results: null or wordless texts match nothing; items shorter than a window
-are matched whole, those under ``LEAST`` tokens never; null item ids are kept as
+are matched whole; null item ids are kept as
 null; repeated document rows give a pair once; empty tables give an empty result;
 other columns are ignored.
 """
@@ -23,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -50,6 +56,7 @@ class _Ids(dict):
     def __init__(self, limit: int):
         super().__init__()
         self.lit = np.zeros(limit, np.uint64)
+        self.raw = np.zeros(limit, np.uint64)
         self.kind = np.zeros(limit, np.int8)
 
     def __missing__(self, w: str) -> int:
@@ -64,13 +71,24 @@ class _Ids(dict):
             kind = NAME if len(w) > 1 and w[0].isupper() and w[1:].islower() else LITERAL
         at = len(self)
         if at == len(self.lit):
-            self.lit, self.kind = np.resize(self.lit, 2 * at), np.resize(self.kind, 2 * at)
-        self.lit[at] = _PLACEHOLDER[kind] if kind in (NUMBER, UNIT) else _xx(low.encode("utf-8", "surrogatepass"))
+            self.lit, self.raw, self.kind = (np.resize(x, 2 * at) for x in (self.lit, self.raw, self.kind))
+        self.raw[at] = _xx(low.encode("utf-8", "surrogatepass"))
+        self.lit[at] = _PLACEHOLDER[kind] if kind in (NUMBER, UNIT) else self.raw[at]
         self.kind[at] = kind
         self[w] = at
         return at
 
 
+class Tokens(NamedTuple):
+    """A text without its sentence marks: hashes of the template and of the words, kinds, which words are capitalised, and the words."""
+
+    lit: np.ndarray
+    raw: np.ndarray
+    kind: np.ndarray
+    titled: np.ndarray
+    words: Callable[[], list[str]]
+
+
 class Canon:
     """Texts to templates; words of former texts are remembered, up to LIMIT."""
 
@@ -81,6 +99,10 @@ class Canon:
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, Callable[[], list[str]]]:
         """Token hashes, kinds, and a function that gives the words, all without sentence marks. A capital at a sentence start makes no name."""
+        t = self.tokens(text)
+        return t.lit, t.kind, t.words
+
+    def tokens(self, text: str) -> Tokens:
         raw = TOKEN.findall(text)
         if len(self.ids) > self.LIMIT:
             self.ids = _Ids(1 << 16)
@@ -92,38 +114,52 @@ class Canon:
         kind[name & first] = LITERAL
         lit[name & ~first] = np.uint64(_PLACEHOLDER[NAME])
         keep = np.flatnonzero(kind != MARK)
-        return lit[keep], kind[keep], lambda: [raw[i] for i in keep.tolist()]
+        return Tokens(lit[keep], ids.raw[at[keep]], kind[keep], name[keep], lambda: [raw[i] for i in keep.tolist()])
 
 
-def window_hashes(lit: np.ndarray, size: int) -> np.ndarray:
-    """Polynomial hashes of all windows of ``size`` tokens."""
+def window_hashes(lit: np.ndarray, size: int, verbatim: bool = False) -> np.ndarray:
+    """Polynomial hashes of all windows of ``size`` tokens; those of words (verbatim) never equal those of templates."""
     n = len(lit) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
         out += lit[k : k + n] * _BASE[k]
-    return out ^ np.uint64(size)
+    return out ^ np.uint64(size + 2 * WINDOW * verbatim)
+
+
+def _sliding(flags: np.ndarray, size: int) -> np.ndarray:
+    """How many of the flags each window of ``size`` holds."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[size:] - total[:-size]
 
 
-def _solid(kind: np.ndarray, at: int, size: int) -> bool:
-    """Whether at least half of a window is literal: templates of placeholders alone say nothing."""
-    return 2 * int((kind[at : at + size] == LITERAL).sum()) >= size
+def _solid(kind: np.ndarray, size: int) -> np.ndarray:
+    """Which windows are at least half literal: templates of placeholders alone say nothing."""
+    return 2 * _sliding(kind == LITERAL, size) >= size
+
+
+def keyed_windows(t: Tokens) -> tuple[int, list[tuple[bool, int, int]]]:
+    """An item's window size, and (verbatim, position, hash) of all that it is found by: each window has its template, its words or both."""
+    size = min(WINDOW, len(t.lit))
+    if not size:
+        return 0, []
+    solid = _solid(t.kind, size) & (size >= LEAST)
+    words = ~solid | (_sliding(t.titled, size) > 0)
+    by_template = [(False, p, h) for p, h in enumerate(window_hashes(t.lit, size).tolist()) if solid[p]]
+    return size, by_template + [(True, p, h) for p, h in enumerate(window_hashes(t.raw, size, True).tolist()) if words[p]]
 
 
 def item_windows(items: list[tuple]) -> dict:
-    """hash -> [(index of the item, position)], sizes, and each item's kinds and words."""
+    """hash -> [(index of the item, position)], (size, verbatim) of all windows, and each item's kinds and words."""
     canon, table, sizes, held = Canon(), defaultdict(list), set(), []
     for item, text in items:
-        lit, kind, words = canon.template(text or "")
-        size = min(WINDOW, len(lit))
-        held.append((item, size, kind, words()))
-        if size < LEAST:
-            continue
-        sizes.add(size)
-        for p, h in enumerate(window_hashes(lit, size).tolist()):
-            if _solid(kind, p, size):
-                table[h].append((len(held) - 1, p))
+        t = canon.tokens(text or "")
+        size, found = keyed_windows(t)
+        for verbatim, p, h in found:
+            sizes.add((size, verbatim))
+            table[h].append((len(held), p))
+        held.append((item, size, t.kind, t.words()))
     return {"table": dict(table), "sizes": sorted(sizes), "items": held}
 
 
@@ -150,23 +186,23 @@ def consistent_cover(pairs: list[tuple[int, int]], size: int, kinds, item_words:
 
 def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known: np.ndarray, coverage: float) -> list[tuple]:
     """(item, coverage, verbatim, windows) of each item that a text leaks."""
-    lit, kind, words = canon.template(text)
-    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    t = canon.tokens(text)
+    found: dict[int, set[tuple[int, int]]] = defaultdict(set)
     told: list[str] = []
-    for size in index["sizes"]:
-        h = window_hashes(lit, size)
+    for size, verbatim in index["sizes"]:
+        h = window_hashes(t.raw if verbatim else t.lit, size, verbatim)
         at = np.flatnonzero(low_bits[(h & np.uint64(0xFFFFF)).astype(np.int64)])
         if len(at):
             spot = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
             for p in at[known[spot] == h[at]].tolist():
                 for item, i in index["table"][int(h[p])]:
                     if index["items"][item][1] == size:
-                        found[item].append((p, i))
+                        found[item].add((p, i))
     out = []
     for item, pairs in sorted(found.items()):
         name, size, kinds, item_words = index["items"][item]
-        told = told or words()
-        n, same, kept = consistent_cover(pairs, size, kinds, item_words, lambda p, s=size, told=told: told[p : p + s])
+        told = told or t.words()
+        n, same, kept = consistent_cover(sorted(pairs), size, kinds, item_words, lambda p, s=size, told=told: told[p : p + s])
         if n >= coverage * len(item_words):
             out.append((name, n / len(item_words), same, kept))
     return out
@@ -200,37 +236,44 @@ def _by_map(docs: DataFrame, index: dict, coverage: float, schema: str) -> DataF
     return docs.mapInArrow(run, schema)
 
 
-def _windows(rows: DataFrame, sizes: list[int] | None, id_type: str) -> DataFrame:
-    """id, pos, size, total, h, words, kinds of every solid window. sizes: those of the benchmark; None: one size by text, as for items."""
+def _windows(rows: DataFrame, sizes: list[tuple[int, bool]] | None, id_type: str) -> DataFrame:
+    """id, pos, size, verbatim, total, h, words, kinds of windows. sizes: (size, verbatim) of the benchmark's windows, for documents; None: those that items are found by."""
+
+    def keyed(t: Tokens) -> Iterator[tuple[int, bool, int, int]]:
+        if sizes is None:
+            size, found = keyed_windows(t)
+            yield from ((size, *x) for x in found)
+            return
+        for size, verbatim in sizes:
+            h = window_hashes(t.raw if verbatim else t.lit, size, verbatim)
+            at = np.arange(len(h)) if verbatim else np.flatnonzero(_solid(t.kind, size)[: len(h)])
+            yield from ((size, verbatim, p, x) for p, x in zip(at.tolist(), h[at].tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
-                own, cols = [], [[] for _ in range(6)]
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    lit, kind, told = canon.template(t)
-                    words = told()
-                    for size in sizes if sizes is not None else [min(WINDOW, len(lit))]:
-                        if size < LEAST:
-                            continue
-                        for p, h in enumerate(window_hashes(lit, size).astype(np.uint64).view(np.int64).tolist()):
-                            if _solid(kind, p, size):
-                                own.append(i)
-                                for c, v in zip(cols, (p, size, len(lit), h, words[p : p + size], kind[p : p + size].tolist()), strict=True):
-                                    c.append(v)
-                types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["id", "pos", "size", "total", "h", "words", "kinds"])
-
-    return rows.mapInArrow(run, f"id {id_type}, pos int, size int, total int, h long, words array<string>, kinds array<int>")
+                own, cols = [], [[] for _ in range(7)]
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    t = canon.tokens(text)
+                    words = t.words()
+                    for size, verbatim, p, h in keyed(t):
+                        own.append(i)
+                        for c, v in zip(cols, (p, size, verbatim, len(words), h - (1 << 64) if h >> 63 else h, words[p : p + size], t.kind[p : p + size].tolist()), strict=True):
+                            c.append(v)
+                types = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["id", "pos", "size", "verbatim", "total", "h", "words", "kinds"])
+
+    return rows.mapInArrow(run, f"id {id_type}, pos int, size int, verbatim boolean, total int, h long, words array<string>, kinds array<int>")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, coverage: float, schema: str) -> DataFrame:
     """The same by a shuffled hash join, for a benchmark of any size."""
-    mine = _windows(items, None, "long").select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "size", "total", "h", F.col("words").alias("iwords"), F.col("kinds").alias("ikinds"))
-    theirs = _windows(docs, list(range(LEAST, WINDOW + 1)), docs.schema["doc_id"].dataType.simpleString()).select(F.col("id").alias("doc_id"), F.col("pos").alias("dpos"), "size", "h", F.col("words").alias("dwords"))
-    hits = theirs.join(mine, ["h", "size"])
+    mine = _windows(items, None, "long").select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "size", "verbatim", "total", "h", F.col("words").alias("iwords"), F.col("kinds").alias("ikinds"))
+    sizes = sorted((r["size"], r["verbatim"]) for r in mine.select("size", "verbatim").distinct().collect())
+    theirs = _windows(docs, sizes, docs.schema["doc_id"].dataType.simpleString()).select(F.col("id").alias("doc_id"), F.col("pos").alias("dpos"), "size", "verbatim", "h", F.col("words").alias("dwords"))
+    hits = theirs.join(mine, ["h", "size", "verbatim"])
 
     def check(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         size, total = int(rows["size"].iloc[0]), int(rows["total"].iloc[0])

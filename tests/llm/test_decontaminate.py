@@ -59,3 +59,12 @@ def test_inconsistent_slots_do_not_count():
     pairs = [(p, p) for p in range(len(words) - size + 1)]
     n, same, kept = dc.consistent_cover(pairs, size, kinds, words, lambda p: doc[p : p + size])
     assert 0 < kept < len(pairs) and not same or n < len(words)
+
+
+def test_verbatim_copies_of_short_and_placeholder_items(spark):
+    items = ["What is 12 + 7 * 3 - 45 / 9?", "Which of Mercury, Venus, Earth, Mars, Jupiter, Saturn, Uranus, Neptune has rings?", "Solve 3x + 5 = 20.", "What is rain"]
+    docs = spark.createDataFrame([*((i, f"Some page says a) {t} and goes on.") for i, t in enumerate(items)), (9, "What is 13 + 8 * 4 - 46 / 10? Solve 4x + 6 = 21.")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for limit in (0, 10**6):
+        got = {(r.doc_id, r.item_id, r.coverage, r.verbatim) for r in dc.leaks(docs, bench, broadcast_windows=limit).collect()}
+        assert got == {(i, i, 1.0, True) for i in range(len(items))}
