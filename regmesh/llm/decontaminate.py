@@ -5,7 +5,8 @@ turn into typed placeholders, everything else into its lower-case form. Windows
 ``WINDOW`` template tokens of the documents are hash-joined to those of the
 benchmark. Matched windows of a document and an item are then checked for slot
 consistency: an item's number, name or unit must stand for one and the same value
-wherever it recurs, so a re-parameterised question matches and chance does not. A
+wherever it recurs in one occurrence, so a re-parameterised question matches and chance
+does not; several variants in one document are judged one by one. A
 document is a leak of an item when consistent windows cover at least ``coverage`` of
 the item's tokens.
 
@@ -163,25 +164,60 @@ def item_windows(items: list[tuple]) -> dict:
     return {"table": dict(table), "sizes": sorted(sizes), "items": held}
 
 
+def _votes(stands: list[tuple]) -> dict:
+    """The most frequent value of each slot, from (slot, value) pairs."""
+    count: dict = defaultdict(Counter)
+    for slot, value in stands:
+        count[slot][value] += 1
+    return {slot: max(sorted(c), key=c.__getitem__) for slot, c in count.items()}
+
+
 def consistent_cover(pairs: list[tuple[int, int]], size: int, kinds, item_words: list[str], doc_words) -> tuple[int, bool, int]:
     """Item tokens covered by windows whose slots agree, whether all those tokens are the same words, and the windows kept.
 
     pairs: (position in the document, position in the item). doc_words(p): the words of the document's window at p.
+    A document may hold several variants of an item, so values are voted for by occurrence: windows of one alignment
+    (document position less item position), then those of nearby alignments (words put in or left out), then all. The
+    best cover of any occurrence counts, of equal ones the verbatim one.
     """
-    stands: dict[tuple, Counter] = defaultdict(Counter)
-    for d, i in pairs:
-        for k, w in enumerate(doc_words(d)):
-            if kinds[i + k] != LITERAL:
-                stands[int(kinds[i + k]), item_words[i + k].lower()][w.lower()] += 1
-    best = {slot: max(sorted(c), key=c.__getitem__) for slot, c in stands.items()}
-    covered, same, kept = set(), True, 0
+    own = [w.lower() for w in item_words]
+    slots = {i: [(k, (int(kinds[i + k]), own[i + k])) for k in range(size) if kinds[i + k] != LITERAL] for i in {i for _, i in pairs}}
+    seen: dict[int, Counter] = defaultdict(Counter)  # by item position: how often which values stand there
+    stands: dict[int, list] = defaultdict(list)  # by alignment
     for d, i in pairs:
         words = doc_words(d)
-        if all(kinds[i + k] == LITERAL or best[int(kinds[i + k]), item_words[i + k].lower()] == w.lower() for k, w in enumerate(words)):
-            kept += 1
-            covered.update(range(i, i + size))
-            same = same and all(w.lower() == item_words[i + k].lower() for k, w in enumerate(words))
-    return len(covered), same, kept
+        values = tuple(words[k].lower() for k, _ in slots[i])
+        seen[i][values] += 1
+        stands[d - i] += zip((slot for _, slot in slots[i]), values, strict=True)
+    every = _votes([x for v in stands.values() for x in v])
+    order, near, at = sorted(stands), min(size, len(own) // 2), 0
+    tried, best = set(), (0, False, 0)
+
+    def consider(stand: dict) -> bool:
+        """Whether no other values can do better."""
+        nonlocal best
+        key = tuple(stand[slot] for slot in every)
+        if key not in tried:
+            tried.add(key)
+            covered, same, kept = set(), True, 0
+            for i, found in seen.items():
+                n = found[tuple(stand[slot] for _, slot in slots[i])]
+                if n:
+                    kept += n
+                    covered.update(range(i, i + size))
+                    same = same and all(stand[slot] == slot[1] for _, slot in slots[i])
+            best = max(best, (len(covered), same and kept > 0, kept))
+        return best[:2] == (len(own), True)
+
+    done = consider(every) or consider({slot: slot[1] for slot in every})
+    while at < len(order) and not done:
+        end = at + 1
+        while end < len(order) and order[end] - order[end - 1] <= near:
+            end += 1
+        around = every | _votes([x for a in order[at:end] for x in stands[a]])
+        done = consider(around) or any(consider(around | _votes(stands[a])) for a in order[at:end])
+        at = end
+    return best
 
 
 def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known: np.ndarray, coverage: float) -> list[tuple]:

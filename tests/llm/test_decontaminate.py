@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -68,3 +69,29 @@ def test_verbatim_copies_of_short_and_placeholder_items(spark):
     for limit in (0, 10**6):
         got = {(r.doc_id, r.item_id, r.coverage, r.verbatim) for r in dc.leaks(docs, bench, broadcast_windows=limit).collect()}
         assert got == {(i, i, 1.0, True) for i in range(len(items))}
+
+
+def variants(n, seed, verbatim=False):
+    """An item of 20 tokens with a number at every fourth, and a page with n variants of it, one of them verbatim on demand."""
+    rng = random.Random(seed)
+    words = "pack carry stack bring crates barrels sacks boxes over under behind along docks yards sheds lanes".split()
+    write = lambda v: " ".join(" ".join([*words[3 * k : 3 * k + 3], str(v[k])]) for k in range(5)) + "."
+    draw = lambda: rng.sample(range(10, 100), 5)
+    item = draw()
+    page = [item if verbatim and k == n // 2 else draw() for k in range(n)]
+    return write(item), " ".join(map(write, page))
+
+
+def test_several_variants_in_one_document(spark):
+    rows, items = [], []
+    for n in (1, 2, 10):
+        for seed in range(20):
+            for verbatim in (False, True):
+                item, page = variants(n, seed, verbatim)
+                items.append((len(items), " ".join(f"w{len(items)}{w}" if w.isalpha() else w for w in item.split())))
+                rows.append((len(rows), " ".join(f"w{len(rows)}{w}" if w.isalpha() else w for w in page.split())))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (0, 10**6):
+        got = {r.doc_id: r for r in dc.leaks(docs, bench, broadcast_windows=limit).collect()}
+        assert len(got) == len(rows) and all(r.coverage == 1.0 and r.doc_id == r.item_id for r in got.values())
+        assert all(got[i].verbatim for i in range(1, len(rows), 2))
