@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become a template: numbers, names (capitalised inside a sentence) and units
-turn into typed placeholders, everything else into its lower-case form. Windows of
+turn into typed placeholders, everything else into its lower-case form. A number is one
+token with its sign, separators and decimals. A capitalised word that opens a sentence
+may be a name or not, unless it is a known function word: it counts as both. Windows of
 ``WINDOW`` template tokens of the documents are hash-joined to those of the
 benchmark. Matched windows of a document and an item are then checked for slot
 consistency: an item's number, name or unit must stand for one and the same value
@@ -39,16 +41,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, text_of, trim_memory
+from .html_extract import STOPS
 
 WINDOW = 8
 LEAST = 5
-TOKEN = re.compile(r"[^\W_]+|[.!?:\n]")
+TOKEN = re.compile(
+    r"[^\W\d_][^\W_]*"  # words
+    r"|(?:[+\-\u2212](?<![^\W_].)(?=\.?\d))?(?:\d|\.(?<![^\W_]\.)\d)\d*(?:[.,]\d+|['\u2019\u00a0\u202f]\d{3}(?!\d))*(?![^\W_])"  # numbers
+    r"|[^\W_]+|[.!?:\n]"
+)
+# Words that open sentences and are no names.
+FUNCTION_WORDS = STOPS | frozenset("how why where who whom whose while until since because although though after before during under over between among through than then also only just even still yet however therefore thus hence these those each every both either neither any all most more much many few several such same another others some none nothing something everything she we you i me my your his her our us let given suppose assume does did do is was were can could will would shall should may might must what which when if so but or nor not no yes here there now in on at by for from with about into of as to".split())
 # Units that become one placeholder.
 UNITS = frozenset("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years cent cents dollar dollars euro euros usd eur percent mph kmh degrees celsius fahrenheit watt watts volt volts".split())
 LITERAL, NUMBER, NAME, UNIT, MARK = range(5)
+CHUNK = 8192
 _xx = xxhash.xxh64_intdigest
 _PLACEHOLDER = {NUMBER: _xx(b"<number>"), NAME: _xx(b"<name>"), UNIT: _xx(b"<unit>")}
-_BASE = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
+_BASE = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(CHUNK + WINDOW)], np.uint64)
+_BACK = np.array([pow(pow(0x9E3779B97F4A7C15, -1, 1 << 64), k, 1 << 64) for k in range(CHUNK + WINDOW)], np.uint64)
 
 
 class _Ids(dict):
@@ -59,34 +70,37 @@ class _Ids(dict):
         self.lit = np.zeros(limit, np.uint64)
         self.raw = np.zeros(limit, np.uint64)
         self.kind = np.zeros(limit, np.int8)
+        self.function = np.zeros(limit, bool)
 
     def __missing__(self, w: str) -> int:
         low = w.lower()
         if w in ".!?:\n":
             kind = MARK
         elif not w.isalpha():
-            kind = NUMBER if w.isdigit() else LITERAL
+            kind = NUMBER if w[-1].isdigit() and not any(map(str.isalpha, w)) else LITERAL
         elif low in UNITS:
             kind = UNIT
         else:
             kind = NAME if len(w) > 1 and w[0].isupper() and w[1:].islower() else LITERAL
         at = len(self)
         if at == len(self.lit):
-            self.lit, self.raw, self.kind = (np.resize(x, 2 * at) for x in (self.lit, self.raw, self.kind))
+            self.lit, self.raw, self.kind, self.function = (np.resize(x, 2 * at) for x in (self.lit, self.raw, self.kind, self.function))
         self.raw[at] = _xx(low.encode("utf-8", "surrogatepass"))
         self.lit[at] = _PLACEHOLDER[kind] if kind in (NUMBER, UNIT) else self.raw[at]
         self.kind[at] = kind
+        self.function[at] = low in FUNCTION_WORDS
         self[w] = at
         return at
 
 
 class Tokens(NamedTuple):
-    """A text without its sentence marks: hashes of the template and of the words, kinds, which words are capitalised, and the words."""
+    """A text without its sentence marks: hashes of the template and of the words, kinds, which words are capitalised, which of them may be a name or not, and the words."""
 
     lit: np.ndarray
     raw: np.ndarray
     kind: np.ndarray
     titled: np.ndarray
+    either: np.ndarray
     words: Callable[[], list[str]]
 
 
@@ -99,7 +113,7 @@ class Canon:
         self.ids = _Ids(1 << 16)
 
     def template(self, text: str) -> tuple[np.ndarray, np.ndarray, Callable[[], list[str]]]:
-        """Token hashes, kinds, and a function that gives the words, all without sentence marks. A capital at a sentence start makes no name."""
+        """Token hashes, kinds, and a function that gives the words, all without sentence marks. A capital at a sentence start makes no name here; tokens() tells which may be one."""
         t = self.tokens(text)
         return t.lit, t.kind, t.words
 
@@ -115,7 +129,7 @@ class Canon:
         kind[name & first] = LITERAL
         lit[name & ~first] = np.uint64(_PLACEHOLDER[NAME])
         keep = np.flatnonzero(kind != MARK)
-        return Tokens(lit[keep], ids.raw[at[keep]], kind[keep], name[keep], lambda: [raw[i] for i in keep.tolist()])
+        return Tokens(lit[keep], ids.raw[at[keep]], kind[keep], name[keep], (name & first & ~ids.function[at])[keep], lambda: [raw[i] for i in keep.tolist()])
 
 
 def window_hashes(lit: np.ndarray, size: int, verbatim: bool = False) -> np.ndarray:
@@ -123,32 +137,59 @@ def window_hashes(lit: np.ndarray, size: int, verbatim: bool = False) -> np.ndar
     n = len(lit) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out += lit[k : k + n] * _BASE[k]
+    out = np.empty(n, np.uint64)
+    for low in range(0, n, CHUNK):  # differences of running sums, modulo 2 ** 64
+        part = lit[low : low + CHUNK + size - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _BASE[: len(part)], out=total[1:])
+        out[low : low + CHUNK] = (total[size:] - total[:-size]) * _BACK[: len(total) - size]
     return out ^ np.uint64(size + 2 * WINDOW * verbatim)
 
 
+def template_windows(t: Tokens, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions, hashes and literal tokens of all windows, with each word that may be a name or not as both; a chunk of positions at a time."""
+    plain = window_hashes(t.lit, size)
+    if not len(plain):
+        return
+    literal, many = _sliding(t.kind == LITERAL, size), _sliding(t.either, size) > 0
+    mark = np.uint64(size)
+    yield np.arange(len(plain)), plain, literal
+    with_either = np.flatnonzero(many)
+    for low in range(0, len(with_either), CHUNK):
+        pos = with_either[low : low + CHUNK]
+        h, lits = plain[pos] ^ mark, literal[pos]
+        first = len(pos)
+        for k in range(size):
+            at = np.flatnonzero(t.either[pos + k])
+            if len(at):
+                own = pos[at]
+                h = np.concatenate([h, h[at] + (np.uint64(_PLACEHOLDER[NAME]) - t.lit[own + k]) * _BASE[k]])
+                lits, pos = np.concatenate([lits, lits[at] - 1]), np.concatenate([pos, own])
+        yield pos[first:], h[first:] ^ mark, lits[first:]
+
+
 def _sliding(flags: np.ndarray, size: int) -> np.ndarray:
     """How many of the flags each window of ``size`` holds."""
     total = np.concatenate([[0], np.cumsum(flags)])
     return total[size:] - total[:-size]
 
 
-def _solid(kind: np.ndarray, size: int) -> np.ndarray:
-    """Which windows are at least half literal: templates of placeholders alone say nothing."""
-    return 2 * _sliding(kind == LITERAL, size) >= size
-
-
 def keyed_windows(t: Tokens) -> tuple[int, list[tuple[bool, int, int]]]:
-    """An item's window size, and (verbatim, position, hash) of all that it is found by: each window has its template, its words or both."""
+    """An item's window size, and (verbatim, position, hash) of all that it is found by: each window has its templates, its words or both."""
     size = min(WINDOW, len(t.lit))
     if not size:
         return 0, []
-    solid = _solid(t.kind, size) & (size >= LEAST)
-    words = ~solid | (_sliding(t.titled, size) > 0)
-    by_template = [(False, p, h) for p, h in enumerate(window_hashes(t.lit, size).tolist()) if solid[p]]
-    return size, by_template + [(True, p, h) for p, h in enumerate(window_hashes(t.raw, size, True).tolist()) if words[p]]
+    words = (_sliding(t.kind == LITERAL, size) * 2 < size) | (_sliding(t.titled, size) > 0) | (size < LEAST)
+    out = [(True, p, h) for p, h in enumerate(window_hashes(t.raw, size, True).tolist()) if words[p]]
+    for pos, h, literal in template_windows(t, size) if size >= LEAST else ():
+        solid = 2 * literal >= size  # templates of placeholders alone say nothing
+        out += [(False, p, x) for p, x in zip(pos[solid].tolist(), h[solid].tolist(), strict=True)]
+    return size, out
+
+
+def slot_kinds(t: Tokens) -> np.ndarray:
+    """Kinds with every word that may be a name as one."""
+    return np.where(t.either, NAME, t.kind)
 
 
 def item_windows(items: list[tuple]) -> dict:
@@ -160,7 +201,7 @@ def item_windows(items: list[tuple]) -> dict:
         for verbatim, p, h in found:
             sizes.add((size, verbatim))
             table[h].append((len(held), p))
-        held.append((item, size, t.kind, t.words()))
+        held.append((item, size, slot_kinds(t), t.words()))
     return {"table": dict(table), "sizes": sorted(sizes), "items": held}
 
 
@@ -226,14 +267,16 @@ def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known:
     found: dict[int, set[tuple[int, int]]] = defaultdict(set)
     told: list[str] = []
     for size, verbatim in index["sizes"]:
-        h = window_hashes(t.raw if verbatim else t.lit, size, verbatim)
-        at = np.flatnonzero(low_bits[(h & np.uint64(0xFFFFF)).astype(np.int64)])
-        if len(at):
-            spot = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-            for p in at[known[spot] == h[at]].tolist():
-                for item, i in index["table"][int(h[p])]:
-                    if index["items"][item][1] == size:
-                        found[item].add((p, i))
+        keyed = [(None, window_hashes(t.raw, size, True))] if verbatim else [(pos, h) for pos, h, _ in template_windows(t, size)]
+        for pos, h in keyed:
+            at = np.flatnonzero(low_bits[(h & np.uint64(0xFFFFF)).astype(np.int64)])
+            if len(at):
+                spot = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+                at = at[known[spot] == h[at]]
+                for p, x in zip((at if pos is None else pos[at]).tolist(), h[at].tolist(), strict=True):
+                    for item, i in index["table"][x]:
+                        if index["items"][item][1] == size:
+                            found[item].add((p, i))
     out = []
     for item, pairs in sorted(found.items()):
         name, size, kinds, item_words = index["items"][item]
@@ -281,9 +324,12 @@ def _windows(rows: DataFrame, sizes: list[tuple[int, bool]] | None, id_type: str
             yield from ((size, *x) for x in found)
             return
         for size, verbatim in sizes:
-            h = window_hashes(t.raw if verbatim else t.lit, size, verbatim)
-            at = np.arange(len(h)) if verbatim else np.flatnonzero(_solid(t.kind, size)[: len(h)])
-            yield from ((size, verbatim, p, x) for p, x in zip(at.tolist(), h[at].tolist(), strict=True))
+            if verbatim:
+                yield from ((size, True, p, x) for p, x in enumerate(window_hashes(t.raw, size, True).tolist()))
+                continue
+            for pos, h, literal in template_windows(t, size):
+                solid = 2 * literal >= size
+                yield from ((size, False, p, x) for p, x in zip(pos[solid].tolist(), h[solid].tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -293,10 +339,10 @@ def _windows(rows: DataFrame, sizes: list[tuple[int, bool]] | None, id_type: str
                 own, cols = [], [[] for _ in range(7)]
                 for i, text in enumerate(part.column(1).to_pylist()):
                     t = canon.tokens(text)
-                    words = t.words()
+                    words, kinds = t.words(), slot_kinds(t)
                     for size, verbatim, p, h in keyed(t):
                         own.append(i)
-                        for c, v in zip(cols, (p, size, verbatim, len(words), h - (1 << 64) if h >> 63 else h, words[p : p + size], t.kind[p : p + size].tolist()), strict=True):
+                        for c, v in zip(cols, (p, size, verbatim, len(words), h - (1 << 64) if h >> 63 else h, words[p : p + size], kinds[p : p + size].tolist()), strict=True):
                             c.append(v)
                 types = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["id", "pos", "size", "verbatim", "total", "h", "words", "kinds"])

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from regmesh.llm import decontaminate as dc
@@ -95,3 +96,26 @@ def test_several_variants_in_one_document(spark):
         got = {r.doc_id: r for r in dc.leaks(docs, bench, broadcast_windows=limit).collect()}
         assert len(got) == len(rows) and all(r.coverage == 1.0 and r.doc_id == r.item_id for r in got.values())
         assert all(got[i].verbatim for i in range(1, len(rows), 2))
+
+
+def test_names_that_open_sentences_and_formats_of_numbers(spark):
+    names = "Alice has 5 apples. Bob has 3 apples. Carol has 2 apples. How many in total?"
+    shop = "A shop sold 950 pens on one day and -3 on the next. It took 1200 coins for all of them, which makes how much a pen?"
+    rows = [
+        (1, "Some page. Dan has 6 apples. Eve has 4 apples. Frank has 3 apples. How many in total?"),
+        (2, "1) A shop sold 1,200 pens on one day and 3.5 on the next. It took 1.234,50 coins for all of them, which makes how much a pen?"),
+        (3, "They said that Dan has 6 apples. Eve has 4 apples. And then Frank has 3 apples. How many in total?"),
+    ]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, names), (2, shop)], "item_id long, text string")
+    for limit in (0, 10**6):
+        got = {(r.doc_id, r.item_id): r.coverage for r in dc.leaks(docs, bench, broadcast_windows=limit).collect()}
+        assert set(got) == {(1, 1), (2, 2), (3, 1)} and got[1, 1] == 1.0 and got[2, 2] == 1.0
+
+
+def test_numbers_are_one_token():
+    words = lambda s: dc.Canon().template(s)[2]()
+    assert words("1,200 or 3.5 or -7 or .5 in 1999, 2000. Then 3x and 1\u2019000.") == ["1,200", "or", "3.5", "or", "-7", "or", ".5", "in", "1999", "2000", "Then", "3x", "and", "1\u2019000"]
+    assert words("covid-19 10-15 v1 33x end.5 a.b") == ["covid", "19", "10", "15", "v1", "33x", "end", "5", "a", "b"]
+    plain = np.array([3, 5, 7, 11] * 5000, np.uint64)
+    want = [sum(int(plain[i + k]) * int(dc._BASE[k]) for k in range(8)) % (1 << 64) ^ 8 for i in (0, 1, 8190, 8191, 8192, 8193, 19992)]
+    assert dc.window_hashes(plain, 8)[[0, 1, 8190, 8191, 8192, 8193, 19992]].tolist() == want
