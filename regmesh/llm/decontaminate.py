@@ -47,7 +47,7 @@ WINDOW = 8
 LEAST = 5
 TOKEN = re.compile(
     r"[^\W\d_][^\W_]*"  # words
-    r"|(?:[+\-\u2212](?<![^\W_].)(?=\.?\d))?(?:\d|\.(?<![^\W_]\.)\d)\d*(?:[.,]\d+|['\u2019\u00a0\u202f]\d{3}(?!\d))*(?![^\W_])"  # numbers
+    r"|(?=[\d.+\-\u2212])(?:[+\-\u2212](?<![^\W_].)(?=\.?\d))?(?:\d|\.(?<![^\W_]\.)\d)\d*(?:[.,]\d+|['\u2019\u00a0\u202f]\d{3}(?!\d))*(?![^\W_])"  # numbers
     r"|[^\W_]+|[.!?:\n]"
 )
 # Words that open sentences and are no names.
@@ -146,15 +146,20 @@ def window_hashes(lit: np.ndarray, size: int, verbatim: bool = False) -> np.ndar
     return out ^ np.uint64(size + 2 * WINDOW * verbatim)
 
 
-def template_windows(t: Tokens, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Positions, hashes and literal tokens of all windows, with each word that may be a name or not as both; a chunk of positions at a time."""
-    plain = window_hashes(t.lit, size)
-    if not len(plain):
+def template_windows(t: Tokens, size: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions, hashes and literal tokens of all windows, with each word that may be a name or not as both; a chunk of positions at a time.
+
+    wanted: flags of the tokens that stand in a window searched for. Windows with any other are left out, as none can match.
+    """
+    whole = None if wanted is None else _sliding(wanted | t.either, size) == size
+    if len(t.lit) < size or (whole is not None and not whole.any()):
         return
+    plain = window_hashes(t.lit, size)
     literal, many = _sliding(t.kind == LITERAL, size), _sliding(t.either, size) > 0
     mark = np.uint64(size)
-    yield np.arange(len(plain)), plain, literal
-    with_either = np.flatnonzero(many)
+    at = np.arange(len(plain)) if whole is None else np.flatnonzero(whole)
+    yield at, plain[at], literal[at]
+    with_either = np.flatnonzero(many if whole is None else many & whole)
     for low in range(0, len(with_either), CHUNK):
         pos = with_either[low : low + CHUNK]
         h, lits = plain[pos] ^ mark, literal[pos]
@@ -193,16 +198,17 @@ def slot_kinds(t: Tokens) -> np.ndarray:
 
 
 def item_windows(items: list[tuple]) -> dict:
-    """hash -> [(index of the item, position)], (size, verbatim) of all windows, and each item's kinds and words."""
-    canon, table, sizes, held = Canon(), defaultdict(list), set(), []
+    """hash -> [(index of the item, position)], (size, verbatim) of all windows, each item's kinds and words, and the hashes of all tokens."""
+    canon, table, sizes, held, tokens = Canon(), defaultdict(list), set(), [], {_PLACEHOLDER[NAME]}
     for item, text in items:
         t = canon.tokens(text or "")
         size, found = keyed_windows(t)
         for verbatim, p, h in found:
             sizes.add((size, verbatim))
             table[h].append((len(held), p))
+        tokens.update(t.lit.tolist(), t.raw.tolist())
         held.append((item, size, slot_kinds(t), t.words()))
-    return {"table": dict(table), "sizes": sorted(sizes), "items": held}
+    return {"table": dict(table), "sizes": sorted(sizes), "items": held, "tokens": np.array(sorted(tokens), np.uint64)}
 
 
 def _votes(stands: list[tuple]) -> dict:
@@ -261,19 +267,32 @@ def consistent_cover(pairs: list[tuple[int, int]], size: int, kinds, item_words:
     return best
 
 
-def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known: np.ndarray, coverage: float) -> list[tuple]:
-    """(item, coverage, verbatim, windows) of each item that a text leaks."""
+def _low_bits(hashes: np.ndarray) -> np.ndarray:
+    """Flags by the low bits of the hashes."""
+    out = np.zeros(1 << 20, bool)
+    out[(hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
+    return out
+
+
+def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known: np.ndarray, coverage: float, tokens: np.ndarray | None = None) -> list[tuple]:
+    """(item, coverage, verbatim, windows) of each item that a text leaks. tokens: low bits of the tokens of all indexed windows."""
     t = canon.tokens(text)
     found: dict[int, set[tuple[int, int]]] = defaultdict(set)
     told: list[str] = []
     for size, verbatim in index["sizes"]:
-        keyed = [(None, window_hashes(t.raw, size, True))] if verbatim else [(pos, h) for pos, h, _ in template_windows(t, size)]
+        wanted = None if tokens is None else tokens[((t.raw if verbatim else t.lit) & np.uint64(0xFFFFF)).astype(np.int64)]
+        if verbatim:
+            h = window_hashes(t.raw, size, True)
+            pos = np.arange(len(h)) if wanted is None else np.flatnonzero(_sliding(wanted, size) == size)
+            keyed = [(pos, h[pos])]
+        else:
+            keyed = [(pos, h) for pos, h, _ in template_windows(t, size, wanted)]
         for pos, h in keyed:
             at = np.flatnonzero(low_bits[(h & np.uint64(0xFFFFF)).astype(np.int64)])
             if len(at):
                 spot = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
                 at = at[known[spot] == h[at]]
-                for p, x in zip((at if pos is None else pos[at]).tolist(), h[at].tolist(), strict=True):
+                for p, x in zip(pos[at].tolist(), h[at].tolist(), strict=True):
                     for item, i in index["table"][x]:
                         if index["items"][item][1] == size:
                             found[item].add((p, i))
@@ -293,14 +312,13 @@ def _by_map(docs: DataFrame, index: dict, coverage: float, schema: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, canon = held.value, Canon()
         known = np.array(sorted(ix["table"]), np.uint64)
-        low_bits = np.zeros(1 << 20, bool)
-        low_bits[(known & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        low_bits, tokens = _low_bits(known), _low_bits(ix["tokens"])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 own, rest = [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    for leak in leaks_of(t, canon, ix, low_bits, known, coverage) if len(known) else ():
+                    for leak in leaks_of(t, canon, ix, low_bits, known, coverage, tokens) if len(known) else ():
                         own.append(i)
                         rest.append(leak)
                 cols = list(zip(*rest, strict=True)) or [[], [], [], []]
