@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 all but the last return the columns of ``documents``. Nulls, ties and repeated rows
-have the results that the operators state; a row with a null doc_id is kept by the
-near-duplicate stage only as the sole member of its group.
+have the results that the operators state; the near-duplicate stage keeps a row with
+a null doc_id only of a group without any id, and then one row of the group.
 """
 
 from __future__ import annotations
@@ -26,16 +26,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the smallest id, once."""
-    groups = simhash.near_duplicates(docs)
-    firsts = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("n"))
-    firsts = Scratch(spark, "kept").cut(firsts)  # ids alone: the texts are joined to them once
-    # the ids grow with the corpus: merged at every size, never broadcast
-    only = lambda ids: docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
+    """Keeps of each near-duplicate group the document with the smallest id, once; of a group without ids one row."""
+    firsts = Scratch(spark, "kept").cut(simhash.survivors(docs))  # keys alone: the texts are joined to them once
+    # the keys grow with the corpus: merged at every size, never broadcast
+    same = lambda ids: docs["doc_id"].eqNullSafe(ids["kept_id"]) & (simhash.text_key(docs["text"]) == ids["kept_key"])
+    only = lambda ids: docs.join(ids.hint("merge"), same(ids), "left_semi")
     repeated = firsts.where("n > 1")
     if repeated.isEmpty():
         return only(firsts)
-    return only(firsts.where("n = 1")).unionByName(only(repeated).dropDuplicates(["doc_id"]))
+    once = only(repeated).withColumn("__key", simhash.text_key(F.col("text"))).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return only(firsts.where("n = 1")).unionByName(once)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

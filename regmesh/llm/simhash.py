@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, text_of
@@ -70,14 +70,20 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text"))
+def text_key(text: Column) -> Column:
+    """With doc_id a key of the row; null and empty texts share one."""
+    return F.xxhash64(text_of(text))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long); keyed: text_key too."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text"), *[text_key(text).alias("text_key")] * keyed)
 
     def fn(c: dict) -> dict:
-        return {"doc_id": c["doc_id"], "fp": [f - (1 << 64) if f >> 63 else f for f in map(fingerprint, c["text"])]}
+        return c | {"fp": [f - (1 << 64) if f >> 63 else f for f in map(fingerprint, c["text"])]}
 
-    return arrow_map(rows, fn, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return arrow_map(rows, fn, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + ", text_key long" * keyed)
 
 
 def segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -241,15 +247,29 @@ def links(prints: DataFrame, scratch: Scratch, hot: int = HOT, block: int = BLOC
     return edges.unionByName(more.select("a", "b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (hex), component_id for every row."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.cut(fingerprints(docs, id_col, text_col))
+def _groups(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """fp, component_id, root (a key of the component, never null) of every fingerprint."""
     first = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = connected_components(links(first, scratch), scratch)  # node, root: linked fingerprints only
     linked = first.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    named = linked.join(least, "root").select("fp", "least")
-    groups = first.join(named, "fp", "left").select("fp", F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    out = prints.join(groups, "fp")
+    named = linked.join(least, "root").select("fp", "root", "least")
+    component = F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first"))
+    return first.join(named, "fp", "left").select("fp", component.alias("component_id"), F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (hex), component_id for every row."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.cut(fingerprints(docs, id_col, text_col))
+    out = prints.join(_groups(prints, scratch), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """kept_id, kept_key (text_key), n: one for each component, the smallest id (null only where the component has no other); n rows of the table are so."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.cut(fingerprints(docs, id_col, text_col, keyed=True))
+    rows = prints.join(_groups(prints, scratch).select("fp", "root"), "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("row"))
+    return least.select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_key").alias("kept_key"), F.col("row.n").alias("n"))

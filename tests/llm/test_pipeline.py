@@ -46,3 +46,11 @@ def test_repeated_rows_stay_once(spark, tiny_dir):
     rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, None), (4, "other words are here in this text"), (None, "alone in the null group of this table")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id or 0 for r in cp.near_duplicates(spark, docs, tiny_dir).collect()) == [0, 1, 3, 4]
+
+
+def test_documents_without_ids_or_with_one_id_stay_by_group(spark, tiny_dir):
+    a, b, c, d = ("red green blue black white pink", "how many roads lead to the old town", "a wholly different line of many words", "some more text that no one else wrote")
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (6, d), (6, "not at all like the other row of this id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in cp.near_duplicates(spark, docs, tiny_dir).collect()))
+    assert got == sorted([(0, a), (0, b), (5, c), (6, d), (6, rows[6][1])])
