@@ -122,6 +122,18 @@ def test_decomposition(spark):
     assert decomposition_frame(d)["end"].iloc[-1] == pytest.approx(t["unexplained_effect"]) and len(d.etable()) == 6
 
 
+def test_decomposition_draws_rows_that_repeat(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=4000), np.full(2000, 3.0)])
+    y = x + np.concatenate([rng.normal(size=4000), np.full(2000, 0.5)])
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "x": x}))
+    draws = decompose(feols("y ~ x", df), "x", reps=300, seed=1).draws[:, 0]
+    c = x - x.mean()
+    beta = c @ y / (c @ c)
+    u = y - y.mean() - beta * c
+    assert draws.std() == pytest.approx(np.sqrt((c * u) @ (c * u)) / (c @ c), rel=0.2) and draws.mean() == pytest.approx(beta, abs=0.01)
+
+
 def test_sequential_inference(data):
     m = feols("Y ~ X1 + X2", data)
     t = savi(m)
