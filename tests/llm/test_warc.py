@@ -1,8 +1,9 @@
+import gzip
 import hashlib
+import time
 
 import duckdb
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from regmesh.llm import warc
@@ -43,7 +44,33 @@ def test_pointer_jumping_rejects_what_no_chain_reaches():
     assert at[warc.reachable(at, after)].tolist() == real[:-1].tolist()
 
 
-def test_broken_archive_is_an_error(spark, tmp_path):
-    (tmp_path / "x.warc").write_bytes(FAKE.encode() + b"junk" + FAKE.encode())
-    with pytest.raises(Exception, match="breaks off"):
-        warc.read(spark, str(tmp_path)).count()
+def test_a_damaged_archive_gives_what_the_chain_reaches(spark, tmp_path):
+    one = FAKE.encode()
+    (tmp_path / "x.warc").write_bytes(one + b"junk" + one)
+    (tmp_path / "y.warc").write_bytes(b"no archive at all")
+    (tmp_path / "z.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one * 2))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(one * 3)[:-30])
+    (tmp_path / "end.warc").write_bytes(one + one[:-9])
+    count = {r.file.rsplit("/", 1)[1]: r.n for r in warc.read(spark, str(tmp_path)).groupBy("file").agg(F.count("*").alias("n")).collect()}
+    assert count["x.warc"] == 1 and count["z.warc.gz"] == 3 and count["end.warc"] == 1 and "y.warc" not in count
+    broken = {r.file.rsplit("/", 1)[1]: (r.size, r.reached) for r in warc.damage(spark, str(tmp_path)).collect()}
+    assert broken["x.warc"] == (2 * len(one) + 4, len(one)) and broken["y.warc"] == (17, 0) and broken["end.warc"] == (2 * len(one) - 9, len(one)) and "z.warc.gz" not in broken
+
+
+def test_long_urls_and_ids_of_any_type(spark):
+    long, body = "http://a/" + "x" * 70_000, "<p>" + "y" * 200
+    rows = [("b>1", long, body), ("a\r\n 2", "u", body), (None, long, "z"), ("null", "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n", "z"), ("é", None, FAKE)]
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {("b>1", "revisit", "a\r\n 2"), ("a\r\n 2", "response", None), (None, "response", None), ("null", "response", None), ("é", "response", None)}
+    alone = spark.createDataFrame(rows[:1], "page_id string, url string, html string")
+    assert warc.round_trip(alone).count() == 1
+    path = warc.Scratch(spark, "test").path()
+    warc.write(alone, path)
+    assert warc.read(spark, path).first().url == long
+
+
+def test_header_search_is_linear_in_the_archive():
+    data = b"WARC/1.1\r\n" * 200_000 + b"WARC-Type: response\r\nContent-Length: 0\r\n\r\n" + b"WARC/1.1\r\n" * 200_000
+    headers, began = warc.Headers(data), time.perf_counter()
+    found = [headers.at(m.start()) is not None for m in warc.MAGIC.finditer(data)]
+    assert sum(found) == 200_000 and all(found[:200_000]) and time.perf_counter() - began < 10
