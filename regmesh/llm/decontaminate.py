@@ -14,15 +14,19 @@ the item's tokens.
 
 The windows of the benchmark travel to the tasks only while they number at most
 ``broadcast_windows``; a larger benchmark is joined by shuffle, with the same result.
+There a bit map of fixed size, of the benchmark's windows, tells which windows of the
+documents are worth sending, so what moves is little more than the hits.
 
 Templates of placeholders alone say nothing, so windows with fewer than half literal
 tokens, and items under ``LEAST`` tokens, match on their words (case aside) instead.
 So do windows with a capitalised word, besides their template, as its type depends on
 the text around it: verbatim copies always count.
 
-Defined results: null or wordless texts match nothing; items shorter than a window
-are matched whole; null item ids are kept as
-null; repeated document rows give a pair once; empty tables give an empty result;
+Defined results: every row, of documents and of the benchmark, is judged by its own text,
+whatever its id. Null or wordless texts match nothing; items shorter than a window are
+matched whole. leaks gives a pair of ids once, null ids too, with the best of the rows
+that share them (most coverage, then verbatim, then most windows); drop_leaks drops the
+rows whose text leaks and no other row of their id. Empty tables give an empty result;
 other columns are ignored.
 """
 
@@ -37,8 +41,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Scratch, small_batches, text_of, trim_memory
 from .html_extract import STOPS
@@ -306,35 +311,58 @@ def leaks_of(text: str, canon: Canon, index: dict, low_bits: np.ndarray, known:
     return out
 
 
-def _by_map(docs: DataFrame, index: dict, coverage: float, schema: str) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
+class _Search:
+    """An index as a task uses it."""
+
+    def __init__(self, index: dict, coverage: float):
+        self.index, self.coverage, self.canon = index, coverage, Canon()
+        self.known = np.array(sorted(index["table"]), np.uint64)
+        self.low_bits, self.tokens = _low_bits(self.known), _low_bits(index["tokens"])
+
+    def leaks(self, text: str) -> list[tuple]:
+        return leaks_of(text, self.canon, self.index, self.low_bits, self.known, self.coverage, self.tokens) if len(self.known) else []
+
+
+def _by_map(docs: DataFrame, index: dict, names: pa.Array, coverage: float, schema: str) -> DataFrame:
+    """names: the item ids that the index's numbers stand for."""
+    held = docs.sparkSession.sparkContext.broadcast((index, names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, canon = held.value, Canon()
-        known = np.array(sorted(ix["table"]), np.uint64)
-        low_bits, tokens = _low_bits(known), _low_bits(ix["tokens"])
+        search, ids = _Search(held.value[0], coverage), held.value[1]
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 own, rest = [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    for leak in leaks_of(t, canon, ix, low_bits, known, coverage, tokens) if len(known) else ():
+                    for leak in search.leaks(t):
                         own.append(i)
                         rest.append(leak)
                 cols = list(zip(*rest, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(own, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
+                    [part.column(0).take(pa.array(own, pa.int64())), ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())],
                     names=["doc_id", "item_id", "coverage", "verbatim", "n_windows"],
                 )
-        del canon
+        del search
         trim_memory()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
-def _windows(rows: DataFrame, sizes: list[tuple[int, bool]] | None, id_type: str) -> DataFrame:
-    """id, pos, size, verbatim, total, h, words, kinds of windows. sizes: (size, verbatim) of the benchmark's windows, for documents; None: those that items are found by."""
+BITS = 27  # of the bit map: 16 MB, whatever the benchmark
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _windows(rows: DataFrame, sizes: list[tuple[int, bool]] | None, bits: np.ndarray | None = None) -> DataFrame:
+    """k1, k2 (the text's key), pos, size, verbatim, total, h, words, kinds of windows. rows: k1, k2, text.
+
+    sizes: (size, verbatim) of the benchmark's windows, for documents, whose windows outside the bit map are left out;
+    None: the windows that items are found by.
+    """
+    held = None if bits is None else rows.sparkSession.sparkContext.broadcast(bits)
 
     def keyed(t: Tokens) -> Iterator[tuple[int, bool, int, int]]:
         if sizes is None:
@@ -343,37 +371,63 @@ def _windows(rows: DataFrame, sizes: list[tuple[int, bool]] | None, id_type: str
             return
         for size, verbatim in sizes:
             if verbatim:
-                yield from ((size, True, p, x) for p, x in enumerate(window_hashes(t.raw, size, True).tolist()))
-                continue
-            for pos, h, literal in template_windows(t, size):
-                solid = 2 * literal >= size
-                yield from ((size, False, p, x) for p, x in zip(pos[solid].tolist(), h[solid].tolist(), strict=True))
+                h = window_hashes(t.raw, size, True)
+                every = [(np.arange(len(h)), h)]
+            else:
+                every = [(pos[2 * literal >= size], h[2 * literal >= size]) for pos, h, literal in template_windows(t, size)]
+            for pos, h in every:
+                low = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                at = np.flatnonzero(held.value[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+                yield from ((size, verbatim, p, x) for p, x in zip(pos[at].tolist(), h[at].tolist(), strict=True))
+
+    types = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
-                own, cols = [], [[] for _ in range(7)]
-                for i, text in enumerate(part.column(1).to_pylist()):
+                own, cols = [], [[] for _ in types]
+                for i, text in enumerate(part.column(2).to_pylist()):
                     t = canon.tokens(text)
-                    words, kinds = t.words(), slot_kinds(t)
+                    words = kinds = None
                     for size, verbatim, p, h in keyed(t):
+                        if words is None:
+                            words, kinds = t.words(), slot_kinds(t)
                         own.append(i)
-                        for c, v in zip(cols, (p, size, verbatim, len(words), h - (1 << 64) if h >> 63 else h, words[p : p + size], kinds[p : p + size].tolist()), strict=True):
+                        for c, v in zip(cols, (p, size, verbatim, len(words), _signed(h), words[p : p + size], kinds[p : p + size].tolist()), strict=True):
                             c.append(v)
-                types = (pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["id", "pos", "size", "verbatim", "total", "h", "words", "kinds"])
+                keys = [part.column(k).take(pa.array(own, pa.int64())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["k1", "k2", "pos", "size", "verbatim", "total", "h", "words", "kinds"])
+
+    small_batches(rows.sparkSession)
+    return rows.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, pos int, size int, verbatim boolean, total int, h long, words array<string>, kinds array<int>")
 
-    return rows.mapInArrow(run, f"id {id_type}, pos int, size int, verbatim boolean, total int, h long, words array<string>, kinds array<int>")
 
+def _text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, coverage: float, schema: str) -> DataFrame:
-    """The same by a shuffled hash join, for a benchmark of any size."""
-    mine = _windows(items, None, "long").select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "size", "verbatim", "total", "h", F.col("words").alias("iwords"), F.col("kinds").alias("ikinds"))
-    sizes = sorted((r["size"], r["verbatim"]) for r in mine.select("size", "verbatim").distinct().collect())
-    theirs = _windows(docs, sizes, docs.schema["doc_id"].dataType.simpleString()).select(F.col("id").alias("doc_id"), F.col("pos").alias("dpos"), "size", "verbatim", "h", F.col("words").alias("dwords"))
-    hits = theirs.join(mine, ["h", "size", "verbatim"])
+
+def _bit_map(windows: DataFrame) -> np.ndarray:
+    """Bits set for the low bits of the windows' hashes: 4,096 rows of 4 KB come here at most."""
+    low = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
+    got = windows.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(1 << BITS - 3, np.uint8)
+    for r in got:
+        out[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+    """k1, k2 (of the document's text), i1, i2 (of the item's), coverage, verbatim, n_windows, for a benchmark of any size. docs, items: k1, k2, text."""
+    scratch = Scratch(docs.sparkSession, "windows")
+    mine = scratch.cut(_windows(items, None)).select(F.col("k1").alias("i1"), F.col("k2").alias("i2"), F.col("pos").alias("ipos"), "size", "verbatim", "total", "h", F.col("words").alias("iwords"), F.col("kinds").alias("ikinds"))
+    sizes = sorted((r["size"], r["verbatim"]) for r in mine.select("size", "verbatim").distinct().collect())  # two for each window size
+    theirs = _windows(docs, sizes, _bit_map(mine)).select("k1", "k2", F.col("pos").alias("dpos"), "size", "verbatim", "h", F.col("words").alias("dwords"))
+    # texts with copies hold the same pairs again: each is kept once, before it moves and after; a hot window is split by AQE
+    pair = ["k1", "k2", "i1", "i2", "dpos", "ipos"]
+    hits = theirs.join(mine.dropDuplicates(["i1", "i2", "ipos", "h"]), ["h", "size", "verbatim"]).dropDuplicates(pair)
 
     def check(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         size, total = int(rows["size"].iloc[0]), int(rows["total"].iloc[0])
@@ -381,29 +435,59 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, coverage: float, schema: str)
         for r in rows.itertuples():
             kinds[r.ipos : r.ipos + size], words[r.ipos : r.ipos + size] = list(r.ikinds), list(r.iwords)
             window[r.dpos] = list(r.dwords)
-        pairs = sorted(set(zip(rows["dpos"], rows["ipos"], strict=True)))
+        pairs = sorted(zip(rows["dpos"].tolist(), rows["ipos"].tolist(), strict=True))
         n, same, kept = consistent_cover(pairs, size, kinds, words, window.__getitem__)
-        ok = n >= coverage * total
-        return pd.DataFrame({"doc_id": [key[0]], "item_id": [key[1]], "coverage": [n / total], "verbatim": [same], "n_windows": [kept]})[: int(ok)]
+        out = dict(zip(("k1", "k2", "i1", "i2"), ([k] for k in key), strict=True)) | {"coverage": [n / total], "verbatim": [same], "n_windows": [kept]}
+        return pd.DataFrame(out)[: int(n >= coverage * total)]
+
+    return hits.groupBy("k1", "k2", "i1", "i2").applyInPandas(check, "k1 long, k2 long, i1 long, i2 long, coverage double, verbatim boolean, n_windows long")
+
 
-    return hits.groupBy("doc_id", "item_id").applyInPandas(check, schema)
+def _index(items: DataFrame, broadcast_windows: int) -> tuple[dict, pa.Array] | None:
+    """The index and the item ids it numbers, of a benchmark with few enough windows."""
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > 16 * broadcast_windows:  # few enough bytes to gather here; then the windows are counted
+        return None
+    rows = items.orderBy("text", "item_id").collect()
+    index = item_windows([(k, r["text"]) for k, r in enumerate(rows)])
+    if sum(map(len, index["table"].values())) > broadcast_windows:
+        return None
+    return index, pa.array([r["item_id"] for r in rows], to_arrow_type(items.schema["item_id"].dataType))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, broadcast_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, coverage, verbatim, n_windows: one row for each leaking pair, none for clean documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_of(F.col(item_text)).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, coverage double, verbatim boolean, n_windows long"
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if words <= 8 * broadcast_windows:  # few enough characters to gather here; then the windows are counted
-        index = item_windows([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
-        if sum(map(len, index["table"].values())) <= broadcast_windows:
-            return _by_map(rows, index, coverage, schema).distinct()
-    return _by_shuffle(rows, items, coverage, schema).distinct()
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the documents that leak; rows with a null id are judged by no pair and stay."""
-    found = leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct()
-    found = Scratch(docs.sparkSession, "leaks").cut(found)  # its size is then known: a small one is broadcast, and texts stay where they are
-    return docs.join(found, id_col, "left_anti")
+    items = benchmark.select(F.col(item_col).alias("item_id"), text_of(F.col(item_text)).alias("text"))
+    types = [x.schema[c].dataType.simpleString() for x, c in ((rows, "doc_id"), (items, "item_id"))]
+    if (index := _index(items, broadcast_windows)) is not None:
+        found = _by_map(rows, *index, coverage, f"doc_id {types[0]}, item_id {types[1]}, coverage double, verbatim boolean, n_windows long")
+    else:
+        text = F.col("text")
+        found = _by_shuffle(rows.select("text", *_text_keys(text)), items.select("text", *_text_keys(text)).dropDuplicates(["k1", "k2"]), coverage)
+        found = Scratch(docs.sparkSession, "leaks").cut(found)
+        names = items.select("item_id", *(k.alias(n) for k, n in zip(_text_keys(text), ("i1", "i2"), strict=True)))
+        found = found.join(names, ["i1", "i2"]).join(rows.select("doc_id", *_text_keys(text)), ["k1", "k2"])
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "verbatim", "n_windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.coverage", "best.verbatim", "best.n_windows")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, broadcast_windows: int = 500_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows whose text leaks an item."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), text_of(F.col(item_text)).alias("text"))
+    if (index := _index(items, broadcast_windows)) is not None:
+        held = docs.sparkSession.sparkContext.broadcast(index[0])
+        small_batches(docs.sparkSession)
+
+        @F.pandas_udf("boolean")
+        def leaky(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            search = _Search(held.value, coverage)
+            for texts in parts:
+                yield pd.Series([bool(search.leaks(t)) for t in texts], dtype=bool)
+
+        return docs.where(~leaky(text_of(F.col(text_col))))
+    text = text_of(F.col(text_col))
+    rows = docs.select(text.alias("text"), *_text_keys(text))
+    found = _by_shuffle(rows, items.select("text", *_text_keys(F.col("text"))).dropDuplicates(["k1", "k2"]), coverage)
+    found = Scratch(docs.sparkSession, "leaks").cut(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct())  # its size is then known
+    return docs.join(found, [k == F.col(n) for k, n in zip(_text_keys(text), ("__k1", "__k2"), strict=True)], "left_anti")
