@@ -2,14 +2,17 @@
 
 A page becomes a list of text blocks with their length, link density, stop-word
 density and the containers around them. The first pass decides what it can: blocks
-inside menus, notices, forms and the like, or made of links, are boilerplate; blocks
-inside the article, or long and rich in stop words, are content. Short blocks stay
-open. In the second pass they inherit the label of the nearest decided neighbours;
-between two unlike ones a heading looks to what follows, other blocks to the nearer
-side, and a tie is boilerplate.
+inside menus, notices, forms and the like, or made of links, are boilerplate; long
+blocks are content if rich in stop words, or if an article element holds them. Short
+blocks stay open. In the second pass they inherit the label of the nearest decided
+neighbours, those in an article from others in an article only; between two unlike
+ones a heading looks to what follows, other blocks to the nearer side, and a tie is
+boilerplate. Without any decided neighbour they are content.
 
-Where an article container holds a good part of the text, nothing outside it is
-content. Whole pages are read; nothing is cut.
+The stop words are those of English, French, German and Spanish. Where the long blocks
+of a page hold too few of them, its language is taken as unknown, and length and link
+density decide alone; ideographs and syllable signs count as three letters there.
+Whole pages are read in linear time; nothing is cut.
 
 Defined results: a null or empty html gives the empty text; markup that is never
 closed ends with the page; an empty table gives an empty result; repeated rows each
@@ -48,10 +51,12 @@ GOOD_CLASSES = frozenset("articlebody article-body article-content article-text
 OPENS_AFTERMATH = re.compile(r"(?i)^(?:\d+\s+)?(?:(?:reader|user)s?['’]?\s+)?comments?\b.{0,12}$|^leave an? (?:reply|comment)|^related (?:articles|posts|stories)|^you (?:may|might) also like")
 
 NEXT = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
-TAG = re.compile(r"""</?([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+TAG = re.compile(r"""</?([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 LOOSE = re.compile(r"</?([A-Za-z][^\s/>]*)([^>]*)>?")
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|itemprop|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?=[\s/>]|$))""")
+HREF = re.compile(r"(?i)(?:^|[\s\"'])href\s*=")
 WORD = re.compile(r"[^\W\d_]+")
+DENSE_SCRIPT = re.compile("[\u2e80-\ua4cf\uac00-\ud7af\uf900-\ufaff]")
 LABEL_WORD = re.compile(r"[a-z0-9]+")
 
 #: A layout wrapper is often named after the menu or sidebar beside the article; an article inside it still counts.
@@ -74,7 +79,45 @@ class _State:
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
     heading: bool = False
-    anchors: int = 0
+    link: int = -1  # how many elements were open where the link began; -1: outside links
+
+
+class _Open:
+    """Elements that are open, what they make of their inside, and where each tag stands."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.stack)
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def inside(self) -> int:
+        return self.stack[-1][1] if self.stack else OPEN
+
+    def push(self, tag: str, inside: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, inside))
+
+    def pop_to(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def closed_by(self, tag: str) -> int:
+        """How many elements stay open after a closing tag; one of an inline element ends no block."""
+        at = self.places.get(tag)
+        if not at or (tag not in BLOCKS and self.blocks and self.blocks[-1] > at[-1]):
+            return len(self.stack)
+        return at[-1]
 
 
 def _container(tag: str, attrs: str, inside: int) -> int:
@@ -112,11 +155,11 @@ def _container(tag: str, attrs: str, inside: int) -> int:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     st = _State()
-    stack: list[tuple[str, int]] = []  # elements that are open, and what they make of their inside
+    stack = _Open()
     aftermath = -1  # depth of the container whose rest is comments or related links
 
     def inside() -> int:
-        return BAD if aftermath >= 0 else (stack[-1][1] if stack else OPEN)
+        return BAD if aftermath >= 0 else stack.inside()
 
     def flush() -> None:
         nonlocal aftermath
@@ -128,7 +171,7 @@ def blocks_of(page: str) -> list[Block]:
                 st.blocks.append(Block(text, links, st.heading, inside()))
                 if st.heading and aftermath < 0 and OPENS_AFTERMATH.match(text):
                     st.blocks[-1].inside = BAD
-                    aftermath = len(stack) - bool(stack and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit())
+                    aftermath = len(stack) - (stack.top()[:1] == "h" and stack.top()[1:].isdigit())
             st.parts.clear()
             st.link_parts.clear()
 
@@ -137,14 +180,16 @@ def blocks_of(page: str) -> list[Block]:
             if "&" in piece:
                 piece = entities.unescape(piece)
             st.parts.append(piece)
-            if st.anchors:
+            if st.link >= 0:
                 st.link_parts.append(piece)
 
     def pop_to(at: int) -> None:
         nonlocal aftermath
-        del stack[at:]
-        if aftermath > len(stack):
+        stack.pop_to(at)
+        if aftermath > at:
             aftermath = -1
+        if st.link > at:  # a link that is never closed ends with the element around it
+            st.link = -1
 
     pos, size, breaks = 0, len(page), 0
     while pos < size:
@@ -184,76 +229,80 @@ def blocks_of(page: str) -> list[Block]:
             continue
         breaks = 0
         if tag == "a":
-            st.anchors = 0 if closing else 1
+            st.link = -1 if closing or not HREF.search(attrs) else len(stack)
             continue
         block = tag in BLOCKS
         if block:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            pop_to(stack.closed_by(tag))
             if block:
                 st.heading = False
             continue
         if tag in VOID:
             continue
         if block:
-            if stack and stack[-1][0] == "p":
-                pop_to(len(stack) - 1)
-            if tag in ("li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
+            if stack.top() == "p" or (stack.top() == tag and tag in ("li", "dt", "dd", "td", "th", "tr", "option")):
                 pop_to(len(stack) - 1)
             st.heading = tag[0] == "h" and tag[1:].isdigit()
-            st.anchors = 0
         if block or attrs or tag in BAD_TAGS:
-            now = _container(tag, attrs, stack[-1][1] if stack else OPEN)
-            if now != (stack[-1][1] if stack else OPEN):
-                if not block and st.parts:
-                    flush()
+            now = _container(tag, attrs, stack.inside())
+            if now != stack.inside() and not block and st.parts:
+                flush()
             if not attrs.endswith("/"):
-                stack.append((tag, now))
-        elif tag in ("span", "b", "i", "em", "strong", "font", "u", "small", "sub", "sup"):
-            pass
+                stack.push(tag, now)
     flush()
     return st.blocks
 
 
-def label(blocks: list[Block], short: int = 70, long: int = 200, stops_low: float = 0.2, stops_high: float = 0.3, links: float = 0.33, article_share: float = 0.25) -> None:
+def _letters(text: str) -> int:
+    return len(text) + 2 * len(DENSE_SCRIPT.findall(text))
+
+
+def _stop_share(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOPS for w in words) / max(1, len(words))
+
+
+def _nearest(labels: list[int]) -> tuple[list, list]:
+    """For each place the last decided one before it and the first after it, as (place, label) or None."""
+    found = []
+    for order in (range(len(labels)), range(len(labels) - 1, -1, -1)):
+        seen, last = [None] * len(labels), None
+        for i in order:
+            seen[i] = last
+            last = (i, labels[i]) if labels[i] else last
+        found.append(seen)
+    return found[0], found[1]
+
+
+def label(blocks: list[Block], short: int = 70, long: int = 200, stops_low: float = 0.2, stops_high: float = 0.3, links: float = 0.33, known: float = 0.25) -> None:
     """Labels the blocks in place: pass one decides, pass two passes labels on to the short ones."""
-    total = sum(len(b.text) for b in blocks)
-    article = sum(len(b.text) for b in blocks if b.inside == GOOD)
-    only_article = article > 0 and article >= article_share * total
+    loose = [b.text for b in blocks if b.inside >= OPEN and len(b.text) >= short and b.links <= links * len(b.text)]
+    foreign = not loose or _stop_share(" ".join(loose)) < known
     for b in blocks:
         n = len(b.text)
-        density = b.links / n
-        if b.inside < OPEN or (only_article and b.inside != GOOD):
-            b.label = BAD
-        elif density > links:
+        if b.inside < OPEN or b.links > links * n:
             b.label = BAD
         elif b.inside == GOOD:
-            b.label = GOOD if n >= short or not b.links else OPEN
+            b.label = GOOD if n >= short else OPEN
+        elif foreign:
+            size = _letters(b.text)
+            b.label = GOOD if size >= long or (size >= short and not b.links) else BAD if b.links else OPEN
         elif n < short:
             b.label = BAD if b.links else OPEN
         else:
-            words = WORD.findall(b.text.lower())
-            share = sum(w in STOPS for w in words) / max(1, len(words))
+            share = _stop_share(b.text)
             b.label = GOOD if share >= stops_high or (share >= stops_low and n >= long) else OPEN if share >= stops_low else BAD
-    decided = [b.label for b in blocks]
-    before, last = [None] * len(blocks), None
-    for i, v in enumerate(decided):
-        before[i] = last
-        last = (i, v) if v else last
-    after, last = [None] * len(blocks), None
-    for i in range(len(blocks) - 1, -1, -1):
-        after[i] = last
-        last = (i, decided[i]) if decided[i] else last
+    everywhere = _nearest([b.label for b in blocks])
+    in_article = _nearest([b.label if b.inside == GOOD else OPEN for b in blocks])
     for i, b in enumerate(blocks):
         if b.label:
             continue
+        before, after = in_article if b.inside == GOOD else everywhere
         p, q = before[i], after[i]
         if p is None or q is None or p[1] == q[1]:
-            b.label = (p or q or (0, BAD))[1]
+            b.label = (p or q or (i, GOOD))[1]
         elif b.heading:
             b.label = q[1]
         else:
