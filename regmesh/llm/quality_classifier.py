@@ -1,15 +1,17 @@
 """Quality classifier by positive-unlabelled (PU) learning.
 
 Trusted positives are labelled good documents; the other class is never shown:
-the second sample is unlabelled web text. The class prior pi is estimated: where
-an audit of both labels exists, as the share of good rows in it (a count, no model
-sees those rows as negatives), else from the scores of a positive-versus-unlabelled
-separator (best-bin estimation: the least ratio of upper-tail masses). The additive
-model then minimises the non-negative unbiased risk
+the second sample is unlabelled web text, and labelled bad documents serve tests
+alone. The class prior pi is estimated from the scores of a positive-versus-unlabelled
+separator, each row scored by a fit that did not see it (best-bin estimation: the
+least ratio of upper-tail masses). The additive model then minimises the non-negative
+unbiased risk
     pi*E_p[l(f)] + max(0, E_u[l(-f)] - pi*E_p[l(-f)]).
 
 The fit reads at most ``max_rows`` positives and ``max_rows`` unlabelled rows,
-those whose hashed id is smallest; scoring reads every whole text.
+those whose hashed id is smallest; scoring reads every whole text. An id that is
+labelled good once is a positive; rows that share an id count once in the fit, by
+the least vector of statistics.
 
 Defined results: a null text is the empty text and still gets a score; a null
 label is no label; with no positives at all every score is the prior 0.5; an
@@ -103,6 +105,22 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> floa
     return float(np.clip(qu[at] / max(qp[at], 1e-9), 0.05, 0.97))
 
 
+def _fair_scores(dp: np.ndarray, du: np.ndarray, steps: int, rate: float, l2: float, parts: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of a positive-versus-unlabelled separator, each row by a fit without its part: no row looks more positive for having been fitted."""
+    parts = min(parts, len(dp), len(du))
+    own_p, own_u = np.arange(len(dp)) % parts, np.arange(len(du)) % parts
+    sp, su = np.empty(len(dp)), np.empty(len(du))
+    for k in range(parts):
+        p, u = (dp[own_p != k], du[own_u != k]) if parts > 1 else (dp, du)
+
+        def separate(w: np.ndarray, p: np.ndarray = p, u: np.ndarray = u) -> np.ndarray:
+            return -p.T @ (1 - _sigmoid(p @ w)) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + l2 * w
+
+        w = _adam(separate, dp.shape[1], steps, rate)
+        sp[own_p == k], su[own_u == k] = dp[own_p == k] @ w, du[own_u == k] @ w
+    return sp, su
+
+
 def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 500, rate: float = 0.05, l2: float = 1e-3, prior: float | None = None) -> Model:
     """The non-negative PU fit; the prior is estimated unless it is given."""
     if not len(pos) or not len(unl):
@@ -112,12 +130,7 @@ def fit(pos: np.ndarray, unl: np.ndarray, steps: int = 500, rate: float = 0.05,
     dp, du = (np.hstack([_design(x, edges), np.ones((len(x), 1))]) for x in (pos, unl))
 
     if prior is None:
-
-        def separate(w: np.ndarray) -> np.ndarray:
-            return -dp.T @ (1 - _sigmoid(dp @ w)) / len(dp) + du.T @ _sigmoid(du @ w) / len(du) + l2 * w
-
-        w = _adam(separate, dp.shape[1], steps // 2, rate)
-        prior = estimate_prior(dp @ w, du @ w)
+        prior = estimate_prior(*_fair_scores(dp, du, steps // 4, rate, l2))
 
     def risk_gradient(w: np.ndarray) -> np.ndarray:
         sp, su = _sigmoid(dp @ w), _sigmoid(du @ w)
@@ -139,20 +152,20 @@ def _edges(v: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fold: int = 2, folds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fits on rows outside the held-out fold."""
-    ids = labels.select(F.col(id_col).alias("doc_id"), "quality").where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != fold))
-    audit = {r["quality"]: r["count"] for r in ids.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}  # two rows
-    good, bad = audit.get(1, 0), audit.get(0, 0)
-    prior = min(0.97, max(0.05, good / (good + bad))) if good and bad else None
-    near = F.xxhash64("doc_id")
-    pos = ids.where(F.col("quality") == 1).select("doc_id").distinct().orderBy(near, "doc_id").limit(max_rows).select("doc_id", F.lit(1).alias("role"))
-    unl = docs.select(F.col(id_col).alias("doc_id")).where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != fold))
-    unl = unl.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_rows).distinct().select("doc_id", F.lit(0).alias("role"))
+    outside = lambda d: d.where(F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != fold))
+    good = outside(labels.select(F.col(id_col).alias("doc_id"), "quality")).where(F.col("quality") == 1)
+    pos = good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("doc_id", F.lit(1).alias("role"))
+    near = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11)
+    every = docs.select(F.col(id_col).alias("doc_id"))
+    share = min(1.0, 2 * max_rows / max(1, every.count()))  # enough hashes for the sample, so that few ids are made distinct
+    unl = outside(every.where(near < F.lit(int(share * (1 << 53))))).distinct().orderBy(near, "doc_id").limit(max_rows).select("doc_id", F.lit(0).alias("role"))
     chosen = pos.unionByName(unl)  # at most 2 * max_rows ids: small enough to broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = arrow_map(rows.select("doc_id", "role", "text"), lambda c: {"doc_id": c["doc_id"], "role": c["role"], "x": [features(t) for t in c["text"]]}, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, role int, x array<double>").toPandas()
+    got = arrow_map(rows.select("doc_id", "role", "text"), lambda c: {"doc_id": c["doc_id"], "role": c["role"], "x": [features(t) for t in c["text"]]}, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, role int, x array<double>")
+    got = got.groupBy("doc_id", "role").agg(F.min("x").alias("x")).toPandas()  # a row an id, however often it is repeated
     got = got.sort_values(["doc_id", "role"])  # the fit does not depend on the order in which tasks end
     x = {r: np.array(list(got.loc[got["role"] == r, "x"]), dtype=float).reshape(-1, FEATURES) for r in (1, 0)}
-    return fit(x[1], x[0], prior=prior)
+    return fit(x[1], x[0])
 
 
 def scorer(docs: DataFrame, model: Model):

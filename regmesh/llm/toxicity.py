@@ -8,9 +8,11 @@ are first screened by their association with the label over the training sample.
 
 The fit reads at most ``max_rows`` labelled rows of each class, those whose hashed
 id is smallest, weighted back to the classes' shares; scoring reads whole texts.
+Terms are screened by a distributed count, so the driver gets the kept terms alone.
 
 Defined results: a null text is the empty text and still gets a score; null labels
-are skipped; without labelled rows of both classes every score is the share of
+are skipped; of labels that disagree about an id, toxic counts; rows that share an id
+count once in the fit, by the least list of terms; without labelled rows of both classes every score is the share of
 label 1 (0 without labels); an empty table gives an empty result; repeated rows
 each get a row; other columns are ignored.
 """
@@ -26,11 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, small_batches, text_of
+from .common import Scratch, arrow_map, crc_mod, small_batches, text_of
 
 WORDS = re.compile(r"\w+")
 BITS = 18
 STEM = 4
+KEEP = 4096
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -66,14 +69,16 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def screen(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, keep: int) -> np.ndarray:
-    """The ``keep`` buckets most associated with either class, by the two-proportion z of their presence."""
-    n = 1 << BITS
+def presence(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows of label 1, and of label 0, each bucket occurs."""
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    a = np.bincount(flat, weights=(y[own] == 1).astype(float), minlength=n)
-    b = np.bincount(flat, weights=(y[own] == 0).astype(float), minlength=n)
-    na, nb = max(1.0, float((y == 1).sum())), max(1.0, float((y == 0).sum()))
+    return tuple(np.bincount(flat, weights=(y[own] == v).astype(float), minlength=1 << BITS) for v in (1, 0))
+
+
+def screen(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, keep: int = KEEP) -> np.ndarray:
+    """The ``keep`` buckets most associated with either class, by the two-proportion z of their presence."""
+    na, nb = max(1.0, n_a), max(1.0, n_b)
     p = (a + b + 1) / (na + nb + 2)
     z = (a / na - b / nb) / np.sqrt(p * (1 - p) * (1 / na + 1 / nb))
     z[a + b < 3] = 0
@@ -81,21 +86,31 @@ def screen(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, keep: int)
     return best[np.abs(z[best]) > 3]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, k: int = 8, keep: int = 4096, epochs: int = 25, rate: float = 0.1, l2: float = 1e-5, seed: int = 11) -> Machine:
-    """AdaGrad over mini-batches; the sums over a document's terms are segment sums."""
+def _slots(chosen: np.ndarray) -> np.ndarray:
+    slot = np.full(1 << BITS, -1, np.int64)
+    slot[chosen] = np.arange(len(chosen))
+    return slot
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, keep: int = KEEP, **how) -> Machine:
+    """Screens the terms of rows that are at hand, and fits."""
+    chosen = screen(*presence(rows, y), int((y == 1).sum()), int((y == 0).sum()), keep)
+    slot = _slots(chosen)
+    return fit_screened([s[s >= 0] for s in (slot[r] for r in rows)], y, weight, chosen, **how)
+
+
+def fit_screened(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, chosen: np.ndarray, k: int = 8, epochs: int = 25, rate: float = 0.1, l2: float = 1e-5, seed: int = 11) -> Machine:
+    """AdaGrad over mini-batches; the sums over a document's terms are segment sums. docs: numbers of the chosen terms."""
     total = float(weight.sum()) if len(y) else 0.0
     share = float((weight * y).sum() / total) if total else 0.0
     w0 = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    slot = np.full(1 << BITS, -1, np.int64)
+    slot = _slots(chosen)
     if not len(y) or len(set(y.tolist())) < 2:
-        return Machine(slot, w0, np.zeros(1), np.zeros((1, k)))
-    chosen = screen(rows, y, weight, keep)
-    slot[chosen] = np.arange(len(chosen))
+        return Machine(_slots(chosen[:0]), w0, np.zeros(1), np.zeros((1, k)))
     m = max(1, len(chosen))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(m), rng.normal(0, 0.02, (m, k))
     gw, gv, g0 = np.full(m, 1e-6), np.full((m, k), 1e-6), 1e-6
-    docs = [s[s >= 0] for s in (slot[r] for r in rows)]
     for epoch in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 256):
@@ -112,7 +127,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, k: int = 8, k
             d0 = err.sum()
             g0 += d0 * d0
             w0 -= rate * d0 / np.sqrt(g0)
-            dw = np.bincount(flat, weights=err[own], minlength=m)
+            dw = np.bincount(flat, weights=err[own], minlength=m).astype(float)
             dv = np.zeros((m, k))
             np.add.at(dv, flat, err[own][:, None] * (s[own] - vs))
             hit = np.unique(flat)
@@ -133,7 +148,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, fold: int =
     near = F.xxhash64("doc_id")
     chosen = ids.where("y = 1").orderBy(near, "doc_id").limit(max_rows).unionByName(ids.where("y = 0").orderBy(near, "doc_id").limit(max_rows))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(F.col(text_col)).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = arrow_map(rows.select("doc_id", "y", "text"), lambda c: {"doc_id": c["doc_id"], "y": c["y"], "t": [terms(t) for t in c["text"]]}, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y int, t array<int>").toPandas()
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    found = arrow_map(rows.select("doc_id", "y", "text"), lambda c: {"doc_id": c["doc_id"], "y": c["y"], "t": [terms(t) for t in c["text"]]}, f"doc_id {id_type}, y int, t array<int>")
+    found = Scratch(docs.sparkSession, "terms").cut(found.groupBy("doc_id", "y").agg(F.min("t").alias("t")))  # a row an id, however often it is repeated
+    n = {r["y"]: r["count"] for r in found.groupBy("y").count().collect()}
+    held = found.select("y", F.explode("t").alias("t")).groupBy("t").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).toPandas()  # 1 << BITS rows at most
+    a, b = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    a[held["t"]], b[held["t"]] = held["a"], held["n"] - held["a"]
+    chosen = screen(a, b, n.get(1, 0), n.get(0, 0))
+    slot = docs.sparkSession.sparkContext.broadcast(_slots(chosen))
+
+    def kept(c: dict) -> dict:
+        return {"doc_id": c["doc_id"], "y": c["y"], "s": [(lambda s: s[s >= 0].tolist())(slot.value[np.asarray(t, np.int64)]) for t in c["t"]]}
+
+    got = arrow_map(found, kept, f"doc_id {id_type}, y int, s array<int>").toPandas()
     got = got.sort_values(["doc_id", "y"]).reset_index(drop=True)
     y = got["y"].to_numpy(dtype=int)
     weight = np.ones(len(y))
@@ -143,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, fold: int =
             weight[own] = counts.get(label, 0) / own.sum()
     if len(weight):
         weight /= weight.mean()
-    return fit([np.asarray(t, np.int64) for t in got["t"]], y, weight)
+    return fit_screened([np.asarray(x, np.int64) for x in got["s"]], y, weight, chosen)
 
 
 def scorer(docs: DataFrame, machine: Machine):

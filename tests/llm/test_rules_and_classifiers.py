@@ -84,6 +84,29 @@ def test_nulls_and_empty_tables(spark, module):
     assert module.classify(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("module", [qc, tx])
+def test_repeated_ids_long_texts_and_labels_that_disagree(spark, sf_dir, module):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    base = {r.doc_id: r.score for r in module.classify(docs, labels).collect()}
+    again = docs.unionByName(docs).unionByName(docs.where("doc_id % 7 = 0")).withColumn("y", F.lit(9)).withColumn("role", F.lit(9)).withColumn("x", F.lit(9))
+    got = module.classify(again, labels.unionByName(labels)).collect()
+    assert len(got) == again.count() and all(abs(base[r.doc_id] - r.score) < 1e-9 for r in got)
+    long = spark.createDataFrame([(1, "word and other words " * 200_000), (2, "x" * 2_000_000)], "doc_id long, text string")
+    both = spark.createDataFrame([(1, 1, 1), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert all(0 <= r.score <= 1 for r in module.classify(long, both).collect())
+
+
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.6, 0.9):
+        n = 4000
+        good, bad = rng.normal(0, 1, (2 * n, qc.FEATURES)), rng.normal(0, 1, (n, qc.FEATURES)) + 2
+        unl = np.vstack([good[n : n + int(share * n)], bad[: n - int(share * n)]])
+        m = qc.fit(good[:n], unl)
+        assert abs(m.prior - share) < 0.06
+        assert (m.score(bad[: n // 2]) < 0.5).mean() > 0.95
+
+
 def test_pairs_of_terms_have_weights_of_their_own():
     rng = np.random.default_rng(0)
     rows, y = [], []
