@@ -33,21 +33,18 @@ def fill(shards: list[str], slots: int = SLOTS) -> np.ndarray:
     start = [zlib.crc32(s.encode()) % slots for s in shards]
     skip = [zlib.crc32(b"skip:" + s.encode()) % (slots - 1) + 1 for s in shards]
     # step n of a shard's preference order is start + n * skip: a permutation, as slots is prime
-    order = [(a + b * np.arange(slots, dtype=np.int64)) % slots for a, b in zip(start, skip, strict=True)]
-    out = np.full(slots, -1, np.int32)
-    at = [0] * len(shards)
+    out = [-1] * slots
+    at = list(start)  # the slot that each shard looks at next
     free = slots
     while free:
-        for i in range(len(shards)):
-            prefer, n = order[i], at[i]
-            while out[prefer[n]] >= 0:
-                n += 1
-            out[prefer[n]] = i
-            at[i] = n + 1
+        for i, step in enumerate(skip[:free]):
+            slot = at[i]
+            while out[slot] >= 0:
+                slot = (slot + step) % slots
+            out[slot] = i
+            at[i] = (slot + step) % slots
             free -= 1
-            if not free:
-                break
-    return out
+    return np.array(out, np.int32)
 
 
 def slot_of(*keys: Column, slots: int = SLOTS) -> Column:

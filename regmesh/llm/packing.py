@@ -7,7 +7,8 @@ takes the largest partner that still fits. Smaller pieces follow in falling size
 each into the tightest gap. Equal sequences stay together as ranges, so the plan has
 at most a few rows for each length, whatever the number of documents. Each piece
 then finds its place from its rank among the pieces of its length; ranks come from
-counts by (length, bucket), so a hot length is dealt out over buckets.
+counts by (length, bucket), so a hot length, and a row that is repeated however often, is
+dealt out over buckets.
 
 Defined results: a null text is the empty text: the end token alone; only documents
 longer than the capacity are cut; repeated rows are packed each; null ids stay null;
@@ -268,18 +269,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return rows, sequences
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 512) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece."""
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = scratch.cut(pieces(docs, tokenizer, capacity, id_col, text_col))
+    cut = scratch.cut(pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))  # written: a number that stays
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     rows, _ = plan(histogram, capacity)
-    buckets = min(4096, max(1, -(-max(histogram.values(), default=1) // per_bucket)))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    buckets = min(16_384, max(1, -(-max(histogram.values(), default=1) // per_bucket)))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
+    nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "row"))
     ranked = dealt.withColumn("nth", nth).join(base, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth") - 1)
     table = np.array(sorted(rows), np.int64).reshape(-1, 6)  # bounded by the capacity, not by the documents
     held = docs.sparkSession.sparkContext.broadcast(table)

@@ -247,22 +247,29 @@ def links(prints: DataFrame, scratch: Scratch, hot: int = HOT, block: int = BLOC
     return edges.unionByName(more.select("a", "b")).distinct()
 
 
-def _groups(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """fp, component_id, root (a key of the component, never null) of every fingerprint."""
-    first = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected_components(links(first, scratch), scratch)  # node, root: linked fingerprints only
+def _grouped(prints: DataFrame, scratch: Scratch, share: int = 1000) -> DataFrame:
+    """prints with component_id and root (a key of the component, never null).
+
+    A fingerprint with more than one row in ``share`` is one of fewer than ``share``: their groups go to the rows by
+    broadcast, so no task gets the rows of such a fingerprint together; all others are joined by shuffle.
+    """
+    first = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    found = connected_components(links(first.select("fp"), scratch), scratch)  # node, root: linked fingerprints only
     linked = first.join(found.withColumnRenamed("node", "fp"), "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select("fp", "root", "least")
     component = F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("first"))
-    return first.join(named, "fp", "left").select("fp", component.alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    groups = scratch.cut(first.join(named, "fp", "left").select("fp", component.alias("component_id"), F.coalesce("root", "fp").alias("root"), "n"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(groups.where(F.col("n") * share > total).drop("n"))
+    rest = prints.join(often.select("fp"), "fp", "left_anti")
+    return prints.join(often, "fp").unionByName(rest.join(groups.drop("n"), "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.cut(fingerprints(docs, id_col, text_col))
-    out = prints.join(_groups(prints, scratch), "fp")
+    out = _grouped(scratch.cut(fingerprints(docs, id_col, text_col)), scratch)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -270,6 +277,6 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """kept_id, kept_key (text_key), n: one for each component, the smallest id (null only where the component has no other); n rows of the table are so."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.cut(fingerprints(docs, id_col, text_col, keyed=True))
-    rows = prints.join(_groups(prints, scratch).select("fp", "root"), "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    rows = _grouped(prints, scratch).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("row"))
     return least.select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_key").alias("kept_key"), F.col("row.n").alias("n"))

@@ -43,7 +43,7 @@ def test_ids_match_the_tokenizer(spark, tiny_dir):
         assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t[:60]
 
 
-@pytest.mark.parametrize("per_bucket", [3, 4096])
+@pytest.mark.parametrize("per_bucket", [3, 512])
 def test_rows_pack(spark, tiny_dir, per_bucket):
     docs = spark.read.parquet(f"{tiny_dir}/documents.parquet")
     rows = [(1, None), (1, None), (None, ""), (7, "a b c"), (7, "a b c")]

@@ -91,3 +91,22 @@ def test_chains_and_hot_keys(spark, hot):
     got = {r.node: r.root for r in simhash.connected_components(edges, scratch).collect()}
     want = brute_components(prints, prints)
     assert [got.get(p, p) for p in prints] == want
+
+
+@pytest.mark.parametrize("share", [1, 4, 10**6])
+def test_groups_reach_hot_and_other_fingerprints_alike(spark, share):
+    rows = [(i, "the hot text that a third of all rows hold") for i in range(40)] + [(100 + i, f"text number {i} of its own kind {i * i}") for i in range(60)] + [(None, None)] * 20
+    scratch = Scratch(spark, "test")
+    prints = scratch.cut(simhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash._grouped(prints, scratch, share).collect())
+    ids = [i for i, _ in rows if i is not None]
+    want = brute_components(ids, [brute_fingerprint(t) for i, t in rows if i is not None])
+    assert got == sorted([(str(i), str(c)) for i, c in zip(ids, want)] + [("None", "None")] * 20)
+
+
+def test_no_task_joins_a_hot_fingerprint(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, "one text that is copied very often").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"), F.lit(" a b c d"))).alias("text"))
+    scratch = Scratch(spark, "test")
+    prints = scratch.cut(simhash.fingerprints(rows.withColumnRenamed("id", "doc_id")))
+    plan = simhash._grouped(prints, scratch)._jdf.queryExecution().toString()
+    assert "Union" in plan and "BroadcastHashJoin" in plan
