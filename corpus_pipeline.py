@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 all but the last return the columns of ``documents``. Nulls, ties and repeated rows
-have the results that the operators state; the near-duplicate stage keeps a row with
-a null doc_id only of a group without any id, and then one row of the group.
+have the results that the operators state. Rows are told apart by id and text together,
+so rows that share an id, or have none, are judged each by its own text; the
+near-duplicate stage keeps a row with a null doc_id only of a group without any id, and
+then one row of the group. Where rows are alike in id and text, one of them stays.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that hold no benchmark item."""
+    """Keeps the rows whose text holds no benchmark item."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
