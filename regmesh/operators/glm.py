@@ -8,20 +8,23 @@ size and written in the shared folder beyond it.
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import DepvarOutsideDomainError, EmptySampleError, NonConvergenceError
+from ..errors import DepvarOutsideDomainError, EmptySampleError, NonConvergenceError, VcovTypeNotSupportedError
 from ..functions.columns import log_gamma, norm_cdf, norm_pdf
+from ..plans.design import build
 from ..scratch import cut
 from .absorb import absorb, drop_singletons
 from .model import LinearModel, _linear
-from .moments import moments, rough_centre
+from .moments import moments, pairs, product_sums, rough_centre, square
 from .ols import independent_columns, spd_inverse
 
 LEVELS_ON_DRIVER = 1_000_000
@@ -58,6 +61,25 @@ FAMILIES = {
 }
 
 
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
+def _arrays(family: str, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, its slope in the predictor and variance, as FAMILIES says them of columns."""
+    if family == "poisson":
+        mu = np.exp(eta)
+        return mu, mu, mu
+    if family == "gaussian":
+        return eta, np.ones_like(eta), np.ones_like(eta)
+    if family == "logit":
+        mu = 1.0 / (1.0 + np.exp(-eta))
+        slope = mu * (1.0 - mu)
+    else:
+        mu, slope = 0.5 * _erfc(-eta / math.sqrt(2.0)).astype(float), np.exp(-0.5 * eta * eta) / math.sqrt(2 * math.pi)
+    bounded = np.clip(mu, 1e-15, 1 - 1e-15)
+    return mu, slope, bounded * (1.0 - bounded)
+
+
 class GlmModel(LinearModel):
     """A fitted generalised linear model; y and w of the linear machinery are the working ones."""
 
@@ -186,13 +208,13 @@ class GlmModel(LinearModel):
             eta = F.col("__eta")
             mu = fam.inverse(eta)
             slope = fam.slope(mu, eta)
-            work = rows.withColumn("__W", w0 / (slope * slope * fam.variance(mu))).withColumn("__zz", eta - off + (y - mu) * slope)
+            work = rows.withColumn("__work", w0 / (slope * slope * fam.variance(mu))).withColumn("__zz", eta - off + (y - mu) * slope)
             cols = [F.col("__zz"), *[xc[i] for i in active]]
             if d.fe:
-                got = absorb(work, cols, F.col("__W"), d.f, self.options.tol, self.options.max_iter, self.options.max_cells)
+                got = absorb(work, cols, F.col("__work"), d.f, self.options.tol, self.options.max_iter, self.options.max_cells)
                 gram = got.gram
             else:
-                n, sums, m = moments(work, cols, F.col("__W"))
+                n, sums, m = moments(work, cols, F.col("__work"))
                 gram = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0] if self.intercept else m[1:, 1:]
             if self.iterations == 1:
                 ok = independent_columns(gram[1:, 1:], self.options.collin_tol)
@@ -234,7 +256,7 @@ class GlmModel(LinearModel):
         eta = F.col("__eta")
         mu = fam.inverse(eta)
         slope = fam.slope(mu, eta)
-        final = rows.withColumn("__W", w0 / (slope * slope * fam.variance(mu))).withColumn("__zz", eta - off + (y - mu) * slope).withColumn("__mu", mu)
+        final = rows.withColumn("__work", w0 / (slope * slope * fam.variance(mu))).withColumn("__zz", eta - off + (y - mu) * slope).withColumn("__mu", mu)
         keep = [c for c in d.x_names if c == "Intercept" or c in [labels[i] for i in active]]
         self._finish(final, keep)
 
@@ -258,13 +280,65 @@ class GlmModel(LinearModel):
     def _hetero_meat(self, name: str) -> np.ndarray:
         if self.options.weights_type != "fweights":
             return super()._hetero_meat("HC1" if name == "hetero" else name)
-        from .moments import product_sums, square
-
         m = [F.col(f"__m{j}") for j in range(self.k)]
         rows = self.score_rows()
         weight = F.col(f"`{self.design.spec['weights']}`").cast("double")
         return square(rows.agg(*product_sums(m, F.pow(F.col("__w") * F.col("__u"), 2) / weight)).first(), self.k)
 
+    def _refit(self, frame: DataFrame) -> GlmModel:
+        data = frame.select(*[F.col(f"`{c}`") for c in self.data.columns])
+        design = build(self.formula, data, state=self.design.state, **self.design.spec)
+        return GlmModel(design, data, self.options, family=self.family.name, iwls_tol=self.iwls_tol, iwls_maxiter=self.iwls_maxiter, separation=self.separation)
+
+    def _jackknife(self, clusters: list[str]) -> np.ndarray:
+        """Refits without each cluster. Without effects all of them iterate at once, a job an iteration, from the full estimate."""
+        return self._jackknife_refits(clusters) if self.design.fe else self._leave_out(clusters)
+
+    def _leave_out(self, clusters: list[str], most: int = 10_000, rounds: int = 50) -> np.ndarray:
+        keys = [F.col(f"`{c}`") for c in clusters]
+        groups = self._y_frame.select(*keys).distinct().orderBy(*keys).limit(most + 1).collect()
+        if len(groups) > most:
+            raise VcovTypeNotSupportedError(f"CRV3 refits once a cluster; there are more than {most}")
+        names = [f"__k{i}" for i in range(len(clusters))]
+        schema = ", ".join(f"{n} {self._y_frame.schema[c].dataType.simpleString()}" for n, c in zip(names, clusters, strict=True))
+        codes = self.frame.sparkSession.createDataFrame([(*g, i) for i, g in enumerate(groups)], schema + ", __code int")  # at most ``most`` rows
+        on = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+        lead = [F.lit(1.0)] if self.intercept else []
+        x = [*lead, *[F.col(self.names_all[i]) for i in self.x_at]]
+        off = F.col("__off") if self.design.has_offset else F.lit(0.0)
+        rows = self._y_frame.join(F.broadcast(codes), on).select("__code", "__y", _Working(self.design).base.alias("__b"), off.alias("__o"), *[c.cast("double").alias(f"x{j}") for j, c in enumerate(x)]).persist()
+        family, k, g, at = self.family.name, self.k, len(groups), pairs(self.k)
+        beta = np.tile(self.beta, (g, 1))
+        try:
+            for _ in range(rounds):
+
+                def part(batches, beta=beta):
+                    out = np.zeros((g, len(at) + k))
+                    for b in batches:
+                        v = b.to_numpy(float)
+                        for low in range(0, len(v), max(1, 2_000_000 // g)):
+                            p = v[low : low + max(1, 2_000_000 // g)]
+                            code, y, base, xs = p[:, 0].astype(int), p[:, 1:2], p[:, 2:3], p[:, 4:]
+                            mu, slope, variance = _arrays(family, xs @ beta.T + p[:, 3:4])
+                            score, weight = base * (y - mu) * slope / variance, base * slope * slope / variance
+                            score[np.arange(len(p)), code] = weight[np.arange(len(p)), code] = 0.0
+                            out[:, : len(at)] += weight.T @ np.column_stack([xs[:, i] * xs[:, j] for i, j in at])
+                            out[:, len(at) :] += score.T @ xs
+                    frame = pd.DataFrame(out, columns=[f"s{i}" for i in range(out.shape[1])])
+                    frame.insert(0, "code", np.arange(g))
+                    yield frame
+
+                cols = [f"s{i}" for i in range(len(at) + k)]
+                got = rows.mapInPandas(part, "code int, " + ", ".join(f"{c} double" for c in cols)).groupBy("code").agg(*[F.sum(c).alias(c) for c in cols]).orderBy("code").toPandas()[cols].to_numpy(float)
+                step = np.stack([np.linalg.pinv(square(r[: len(at)], k)) @ r[len(at) :] for r in got])
+                beta = beta + step
+                if np.abs(step).max(initial=0.0) < 1e-9 * (1 + np.abs(beta).max(initial=0.0)):
+                    d = beta - self.beta
+                    return d.T @ d
+        finally:
+            rows.unpersist()
+        raise NonConvergenceError("a refit without a cluster did not converge")
+
     # --- rows for users --------------------------------------------------------
 
     def _respond(self, link: Column, kind: str) -> Column:
@@ -310,7 +384,7 @@ class _Working:
 
     @property
     def w(self) -> Column:
-        return F.col("__W")
+        return F.col("__work")
 
 
 __all__ = ["FAMILIES", "Family", "GlmModel", "reduce"]

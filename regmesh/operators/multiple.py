@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from .model import LinearModel
-from .resample import bootstrap_t
+from .resample import bootstrap_t, ritest
 
 
 def _models(models) -> list[LinearModel]:
@@ -51,17 +51,31 @@ def step_down_min_p(p: np.ndarray, draws: np.ndarray) -> np.ndarray:
     return out
 
 
-def rwolf(models, param: str, reps: int = 999, seed: int | None = None) -> pd.DataFrame:
-    """Romano-Wolf adjusted p-values from wild bootstrap draws that all models share."""
+def _draws(models: list[LinearModel], param: str, reps: int, seed: int | None, method: str) -> np.ndarray:
+    """t statistics under the null, replicates by models. Models share a replicate's weights, or its drawn treatment."""
+    if method == "wild-bootstrap":
+        found = [bootstrap_t(m, param, reps, seed, impose_null=False) for m in models]
+    elif method == "ri":
+        found = []
+        for m in models:
+            ritest(m, param, reps, type="randomization-t", seed=seed or 0)
+            found.append(m.ritest_statistics)
+    else:
+        raise ValueError("sampling_method is wild-bootstrap or ri")
+    return np.column_stack(found)
+
+
+def rwolf(models, param: str, reps: int = 999, seed: int | None = None, sampling_method: str = "wild-bootstrap") -> pd.DataFrame:
+    """Romano-Wolf adjusted p-values, from wild bootstrap draws or a treatment drawn anew (ri)."""
     out, ms = _rows(models, param), _models(models)
-    draws = np.column_stack([bootstrap_t(m, param, reps, seed, impose_null=False) for m in ms])
-    out["RW Pr(>|t|)"] = step_down_max_t(out["t value"].to_numpy(), draws)
+    out["RW Pr(>|t|)"] = step_down_max_t(out["t value"].to_numpy(), _draws(ms, param, reps, seed, sampling_method))
     return out.T
 
 
-def wyoung(models, param: str, reps: int = 999, seed: int | None = None) -> pd.DataFrame:
-    """Westfall-Young adjusted p-values from wild bootstrap draws that all models share."""
+def wyoung(models, param: str, reps: int = 999, seed: int | None = None, sampling_method: str = "wild-bootstrap") -> pd.DataFrame:
+    """Westfall-Young adjusted p-values, from wild bootstrap draws or a treatment drawn anew (ri)."""
     out, ms = _rows(models, param), _models(models)
-    draws = np.column_stack([np.array([m._p(v) for v in bootstrap_t(m, param, reps, seed, impose_null=False)]) for m in ms])
+    t = _draws(ms, param, reps, seed, sampling_method)
+    draws = np.column_stack([np.array([m._p(v) for v in t[:, i]]) for i, m in enumerate(ms)])
     out["WY Pr(>|t|)"] = step_down_min_p(out["Pr(>|t|)"].to_numpy(), draws)
     return out.T

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+from copy import copy
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
+from ..plans.design import build
+from ..plans.formula import Node
 from ..scratch import cut
 from .absorb import absorb
 from .model import LinearModel, _linear
-from .moments import pairs, product_sums, square
+from .moments import pairs
 from .ols import independent_columns, spd_inverse
 
 MAX_CLUSTERS = 1_000_000
@@ -23,13 +26,35 @@ MAX_CLUSTERS = 1_000_000
 # --- wild bootstrap -------------------------------------------------------------
 
 
+def _one_hot(model: LinearModel, most: int = 2000) -> LinearModel:
+    """The same model with its fixed effects laid out as indicators, for few levels."""
+    if sum(model.k_fe) > most:
+        raise ValueError(f"the fixed effects have {sum(model.k_fe)} levels; the wild bootstrap lays out at most {most}, or any number nested in the clusters")
+    f = model.formula
+    names = [f"__one{i}" for i in range(len(f.fixed_effects))]
+    data = model.frame.select(*[F.col(f"`{c}`") for c in model.data.columns], *[F.col(c).alias(n.lstrip("_")) for c, n in zip(model.design.f, names, strict=True)])
+    terms = tuple((Node("call", "C", (Node("name", n.lstrip("_")),)),) for n in names)
+    plain = type(f)(f.text, f.dependent, f.exogenous + terms, True, ())
+    spec = model.design.spec
+    return LinearModel(build(plain, data, weights=spec["weights"], context=spec["context"]), data, model.options)
+
+
+def _prepared(model: LinearModel, clusters: list[str] | None) -> LinearModel:
+    """A model whose score sums by cluster are all that a draw needs: effects inside the clusters drop out of the sums, others are laid out."""
+    if model.is_iv:
+        raise ValueError("the wild bootstrap is not available with instruments")
+    if clusters and len(clusters) > 1:
+        raise ValueError("the wild bootstrap takes one cluster variable")
+    if model.design.fe and not (clusters and model._nested(clusters)[1] == len(model.design.fe)):
+        model = _one_hot(model)
+    return model
+
+
 def _cluster_parts(model: LinearModel, param: str, clusters: list[str] | None, impose_null: bool, r: float = 0.0):
     """By cluster: sums of (the other-regressor residual of param) times residual, the same by regressors, and score sums.
 
     Everything that a wild bootstrap needs is then k-sized by cluster.
     """
-    if model.is_iv:
-        raise ValueError("the wild bootstrap is not available with instruments")
     j = model.coefnames.index(param)
     rows = model.score_rows()
     k, w = model.k, F.col("__w")
@@ -44,16 +69,13 @@ def _cluster_parts(model: LinearModel, param: str, clusters: list[str] | None, i
     base = rows.select(*keys, (w * ortho * u).alias("a"), *[(w * ortho * x).alias(f"b{i}") for i, x in enumerate(m)], *[(w * x * u).alias(f"s{i}") for i, x in enumerate(m)])
     names = ["a", *[f"b{i}" for i in range(k)], *[f"s{i}" for i in range(k)]]
     parts = base.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(*[F.sum(c).alias(c) for c in names]) if clusters else base
-    n = parts.count()
-    if n > MAX_CLUSTERS:
-        raise ValueError(f"{n} clusters: the bootstrap's draws are made on the driver for at most {MAX_CLUSTERS}")
-    keep = ["a", *[c for c in names if c != "a"]]
-    got = parts.orderBy(*[f"k{i}" for i in range(len(keys))]).select(*keep).toPandas().to_numpy(float)
+    got = parts.orderBy(*[f"k{i}" for i in range(len(keys))]).select(*names).limit(MAX_CLUSTERS + 1).toPandas().to_numpy(float)
+    if len(got) > MAX_CLUSTERS:
+        raise ValueError(f"the bootstrap's draws are made on the driver for at most {MAX_CLUSTERS} clusters")
     return j, got[:, 0], got[:, 1 : 1 + k], got[:, 1 + k :]
 
 
-def _draws(n: int, reps: int, kind: str, seed: int | None) -> np.ndarray:
-    rng = np.random.default_rng(seed)
+def _draw(rng: np.random.Generator, n: int, reps: int, kind: str) -> np.ndarray:
     if kind == "rademacher":
         return rng.integers(0, 2, (n, reps)) * 2.0 - 1.0
     if kind == "webb":
@@ -67,47 +89,48 @@ def _draws(n: int, reps: int, kind: str, seed: int | None) -> np.ndarray:
     raise ValueError("weights are rademacher, webb, mammen or normal")
 
 
-def _t_draws(model: LinearModel, parts, v: np.ndarray) -> np.ndarray:
-    j, a, b, s = parts
-    top = model.bread[j, j] * (a @ v)  # what a draw adds to the estimate
-    back = b @ model.bread @ (s.T @ v)  # clusters by draws: regressors' part of the drawn residual
-    err = model.bread[j, j] * np.sqrt(((v * a[:, None] - back) ** 2).sum(axis=0))
-    g, n, k = len(a), model.n, model.k
-    scale = math.sqrt(g / (g - 1) * (n - 1) / (n - k)) if g < n else math.sqrt(n / (n - k))
-    return top / np.where(err > 0, err * scale, np.nan)
+def _blocks(n: int, reps: int, kind: str, seed: int | None, cells: int = 4_000_000):
+    """Draws, clusters by replicates, a bounded block at a time. Signs that are fewer than the replicates are listed whole."""
+    if kind == "rademacher" and n < 60 and 1 << n <= reps:
+        yield (np.arange(1 << n)[None, :] >> np.arange(n)[:, None] & 1) * 2.0 - 1.0
+        return
+    rng, each = np.random.default_rng(seed), max(1, cells // max(1, n))
+    for low in range(0, reps, each):
+        yield _draw(rng, n, min(each, reps - low), kind)
 
 
-def _check_effects(model: LinearModel) -> None:
-    if model.design.fe:
-        raise ValueError("the wild bootstrap works on models without absorbed effects; write them as C(...) terms")
+def _t_draws(model: LinearModel, parts, reps: int, kind: str, seed: int | None, clusters: list[str] | None) -> np.ndarray:
+    j, a, b, s = parts
+    g, fe = len(a), (sum(model.k_fe), len(model.k_fe))
+    nested = model._nested(clusters) if clusters and fe[1] and model.options.ssc.k_fixef == "nonnested" else (0, 0)
+    scale = math.sqrt(model.options.ssc.factor("CRV" if clusters else "hetero", model.n, model.k, *fe, *nested, groups=g)[0])
+    out = []
+    for v in _blocks(g, reps, kind, seed):
+        top = model.bread[j, j] * (a @ v)  # what a draw adds to the estimate
+        back = b @ (model.bread @ (s.T @ v))  # clusters by draws: regressors' part of the drawn residual
+        err = model.bread[j, j] * np.sqrt(((v * a[:, None] - back) ** 2).sum(axis=0))
+        out.append(top / np.where(err > 0, err * scale, np.nan))
+    return np.concatenate(out)
 
 
 def bootstrap_t(model: LinearModel, param: str, reps: int, seed: int | None, weights: str = "rademacher", impose_null: bool = True, r: float = 0.0) -> np.ndarray:
     """Drawn t statistics under the null; clusters are those of the model's covariance."""
     clusters = getattr(model, "clusters", None) if isinstance(model.vcov_type, dict) else None
-    parts = _cluster_parts(model, param, clusters[:1] if clusters else None, impose_null, r)
-    return _t_draws(model, parts, _draws(len(parts[1]), reps, weights, seed))
+    plain = _prepared(model, clusters)
+    return _t_draws(plain, _cluster_parts(plain, param, clusters, impose_null, r), reps, weights, seed, clusters)
 
 
 def wildboottest(model: LinearModel, reps: int, param: str, cluster: str | None = None, weights_type: str = "rademacher", impose_null: bool = True, seed: int | None = None, r: float = 0.0) -> pd.Series:
     """Wild (cluster) bootstrap test of beta = r."""
-    _check_effects(model)
     clusters = [cluster] if cluster else (getattr(model, "clusters", None) if isinstance(model.vcov_type, dict) else None)
-    parts = _cluster_parts(model, param, clusters[:1] if clusters else None, impose_null, r)
-    j, a, b, s = parts
-    # the sample's own statistic with the same variance: residual sums without draws
-    at = model.coefnames.index(param)
-    plain = model if not cluster else None
-    if plain is None:
-        saved = (model.V, model.df_t, model.G, model.vcov_type, getattr(model, "clusters", None))
-        model.vcov({"CRV1": cluster})
-        t = float(model.tstat()[at])
-        model.V, model.df_t, model.G, model.vcov_type, model.clusters = saved
-    else:
-        t = float(model.tstat()[at])
-    t -= r / float(model.beta[at]) * t if r else 0.0
-    drawn = _t_draws(model, parts, _draws(len(a), reps, weights_type, seed))
-    return pd.Series({"param": param, "t value": t, "Pr(>|t|)": float(np.mean(np.abs(drawn) >= abs(t))), "bootstrap_type": "11" if impose_null else "31", "inference": f"CRV({clusters[0]})" if clusters else "HC", "impose_null": impose_null})
+    plain = _prepared(model, clusters)
+    drawn = _t_draws(plain, _cluster_parts(plain, param, clusters, impose_null, r), reps, weights_type, seed, clusters)
+    plain = copy(plain)  # the caller's model keeps its covariance
+    plain.vcov({"CRV1": clusters[0]} if clusters else "hetero")
+    at = plain.coefnames.index(param)
+    t = float((plain.beta[at] - r) / plain.se()[at])
+    p = float(np.mean(np.abs(drawn) >= abs(t) * (1 - 1e-10)))  # the draw that is the sample itself counts, whatever the rounding
+    return pd.Series({"param": param, "t value": t, "Pr(>|t|)": p, "bootstrap_type": "11" if impose_null else "31", "inference": f"CRV({clusters[0]})" if clusters else "HC", "impose_null": impose_null})
 
 
 # --- randomisation inference -----------------------------------------------------
@@ -192,58 +215,89 @@ def _column_of(model: LinearModel, name: str) -> str:
 # --- causal cluster variance ------------------------------------------------------
 
 
+def _split_variance(rows: DataFrame, parts: list[Column], k: int, at: int, everywhere: float, pk: float) -> float:
+    """n times the variance by one split. rows: c (cluster) and v0.. (outcome, regressors, one); parts: fitting untreated and treated, scoring untreated and treated."""
+    v, upper = [F.col(f"v{i}") for i in range(k + 2)], pairs(k + 2)
+    sums = [F.sum(F.when(p, v[i] * v[j]).otherwise(0.0)).alias(f"q{h}_{n}") for h, p in enumerate(parts) for n, (i, j) in enumerate(upper)]
+    by_cluster = cut(rows.groupBy("c").agg(*sums).drop("c"), "ccv-split")
+
+    def matrices(flat: np.ndarray) -> np.ndarray:
+        """(clusters, parts, k + 2, k + 2) cross products."""
+        out = np.zeros((len(flat), 4, k + 2, k + 2))
+        for n, (i, j) in enumerate(upper):
+            out[:, :, i, j] = out[:, :, j, i] = flat.reshape(len(flat), 4, len(upper))[:, :, n]
+        return out
+
+    whole = matrices(np.array([by_cluster.agg(*[F.sum(c) for c in by_cluster.columns]).first()], float))[0]
+    fit, n_part = whole[0] + whole[1], whole[:, -1, -1]
+    coefs = np.linalg.pinv(fit[1:-1, 1:-1]) @ fit[1:-1, 0]
+    n, effect = float(n_part.sum()), float(coefs[at])
+    treated, scoring = float(n_part[1] / (n_part[0] + n_part[1])), float((n_part[2] + n_part[3]) / n)
+    to_u = np.concatenate([[1.0], -coefs, [0.0]])  # the residual in terms of the columns
+
+    def effects(m: np.ndarray, n0: np.ndarray, n1: np.ndarray, default: float) -> np.ndarray:
+        """Effects within clusters; the default where one arm is empty."""
+        own = (np.linalg.pinv(m[:, 1:-1, 1:-1], hermitian=True) @ m[:, 1:-1, :1])[:, at, 0]
+        return np.where((n0 > 0) & (n1 > 0), own, default)
+
+    def work(batches):
+        scores = spread = 0.0
+        clusters = 0
+        for b in batches:
+            q = matrices(b.to_numpy(float))
+            size = q[:, :, -1, -1]
+            near = effects(q[:, 0] + q[:, 1], size[:, 0], size[:, 1], effect)
+            full = effects(q.sum(axis=1), size[:, 0] + size[:, 2], size[:, 1] + size[:, 3], everywhere)
+            u_sum, u_square = q[:, 2:, -1] @ to_u, np.einsum("caij,i,j->ca", q[:, 2:], to_u, to_u)
+            tilt = np.array([-treated, 1.0 - treated])
+            shift, held = (near - effect) * treated * (1 - treated), size[:, 2] + size[:, 3]
+            first = u_sum @ tilt - held * shift  # sum of e
+            second = u_square @ tilt**2 - 2 * shift * (u_sum @ tilt) + held * shift**2  # sum of e^2
+            scores += float((first**2 - (1 - scoring) * second).sum()) / scoring**2
+            spread += float((size.sum(axis=1) * (full - effect) ** 2).sum()) / n
+            clusters += len(b)
+        yield pd.DataFrame({"scores": [scores], "spread": [spread], "clusters": [clusters]})
+
+    got = by_cluster.mapInPandas(work, "scores double, spread double, clusters long").agg(F.sum("scores"), F.sum("spread"), F.sum("clusters")).first()
+    return got[0] / (n * treated**2 * (1 - treated) ** 2) + got[2] * (1 - pk) * got[1]
+
+
 def ccv(model: LinearModel, treatment: str, cluster: str | None = None, pk: float = 1.0, qk: float = 1.0, n_splits: int = 8, seed: int = 0) -> pd.DataFrame:
-    """Variance for designs where treatment and clusters are sampled: each split halves the rows by a hashed coin; all
-    regressions by cluster come from cross products of one aggregation, the residual terms from a second."""
+    """The causal cluster variance of Abadie, Athey, Imbens and Wooldridge (2023), for a binary treatment.
+
+    A split deals the rows by a hashed coin into one part that fits (the coefficients, and the effect in each cluster)
+    and one that scores. With W the treated share of the fitting part, Z the share of the scoring part, u the residual
+    and d_c = (effect in cluster c - effect) W (1 - W), the score of a row is e = (w - W) u - d_c, and the variance
+        ( sum_c (sum e)^2 / Z^2 - (1 - Z) / Z^2 sum_c sum e^2 ) / (n W^2 (1 - W)^2) + (1 - pk) sum_c n_c / n (effect_c - effect)^2.
+    The last term is counted once a cluster here, as users of the estimator's ports expect; at pk = 1 it is zero.
+
+    A treated share makes every sum of e a quadratic form in cross products by cluster, part and arm, so a split is one
+    aggregation of the rows; clusters are then worked off in batches on the tasks, and three sums come to the driver.
+    """
     if model.design.fe or model.is_iv:
         raise ValueError("the causal cluster variance is for OLS without fixed effects")
     cluster = cluster or model.clusters[0]
-    model.vcov({"CRV1": cluster})
-    at = model.coefnames.index(treatment)
-    tau_full = float(model.beta[at])
-    rows = cut(model.score_rows().withColumn("__row", F.monotonically_increasing_id()), "ccv")
-    g = rows.select(F.col(f"`{cluster}`")).distinct().count()
-    if g > MAX_CLUSTERS:
-        raise ValueError(f"{g} clusters are more than {MAX_CLUSTERS}")
-    k = model.k
+    at, k = model.coefnames.index(treatment), model.k
+    arm = F.col(f"`{treatment}`").cast("double")
     m = [F.col(f"__m{i}") for i in range(k)]
-    y = F.col("__u") + _linear(m, model.beta)
-    treat, total = F.col(f"`{treatment}`").cast("double"), 0.0
+    cols = [F.col("__u") + _linear(m, model.beta), *m, F.lit(1.0)]
+    rows = cut(model.score_rows().select(F.col(f"`{cluster}`").alias("c"), arm.alias("w"), F.monotonically_increasing_id().alias("row"), *[c.alias(f"v{i}") for i, c in enumerate(cols)]), "ccv")
+    if rows.where("w not in (0, 1)").limit(1).count():
+        raise ValueError(f"{treatment} is not binary")
+    everywhere = float(model.beta[at])
+    total = 0.0
     for split in range(n_splits):
-        z = F.pmod(F.xxhash64("__row", F.lit(seed), F.lit(split)), F.lit(2)) == 1
-        cols = [y, *m]
-        per = rows.groupBy(F.col(f"`{cluster}`").alias("c"), z.alias("z")).agg(F.count(F.lit(1)).alias("n"), F.min(treat).alias("lo"), F.max(treat).alias("hi"), F.sum(treat).alias("wt"), *[s.alias(f"q{i}") for i, s in enumerate(product_sums(cols))]).toPandas()
-        q = [f"q{i}" for i in range(len(pairs(k + 1)))]
-        coef = lambda s: np.linalg.lstsq(s[1:, 1:], s[1:, 0], rcond=None)[0]
-        half = per[per["z"]]
-        coefs = coef(square(half[q].sum(), k + 1))
-        tau, n = float(coefs[at]), float(per["n"].sum())
-        w_bar, z_avg = float(half["wt"].sum() / half["n"].sum()), float(1 - half["n"].sum() / n)
-        pk_term, tau_ms = 0.0, {}
-        for c, part in per.groupby("c"):
-            full = tau_full if part["lo"].min() == part["hi"].max() else float(coef(square(part[q].sum(), k + 1))[at])
-            own = part[part["z"]]
-            tau_ms[c] = tau if own.empty or own["lo"].min() == own["hi"].max() else float(coef(square(own[q].sum(), k + 1))[at])
-            pk_term += part["n"].sum() * (full - tau) ** 2
-        pk_term *= (1 - pk) / n
-        u = y - _linear(m, coefs)
-        term = (treat - F.lit(w_bar)) * u
-        rest = rows.where(~z).groupBy(F.col(f"`{cluster}`").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.sum(term).alias("s"), F.sum(term * term).alias("ss")).toPandas().set_index("c")
-        n_adj = n * w_bar**2 * (1 - w_bar) ** 2
-        out = 0.0
-        for c, tm in tau_ms.items():
-            r = rest.loc[c] if c in rest.index else {"n": 0, "s": 0.0, "ss": 0.0}
-            shift = (tm - tau) * w_bar * (1 - w_bar)
-            sum_sq = r["ss"] - 2 * shift * r["s"] + r["n"] * shift**2
-            out += (r["s"] - r["n"] * shift) ** 2 / z_avg**2 - (1 - z_avg) / z_avg**2 * sum_sq + n_adj * pk_term
-        total += out / n_adj
-    crv = float(model.V[at, at])
+        fits = F.pmod(F.xxhash64("row", F.lit(seed), F.lit(split)), F.lit(2)) == 1
+        parts = [(fits & (F.col("w") == 0)), (fits & (F.col("w") == 1)), (~fits & (F.col("w") == 0)), (~fits & (F.col("w") == 1))]
+        total += _split_variance(rows, parts, k, at, everywhere, pk)
+    model = copy(model).vcov({"CRV1": cluster})
+    crv, g = float(model.V[at, at]), model.G[0]
     v = qk * total / n_splits / model.n + (1 - qk) * crv
     rows_out = []
     for name, var in (("CCV", v), ("CRV1", crv)):
         se = math.sqrt(max(var, 0.0))
         half_width = dist.t_ppf(0.975, g - 1) * se
-        rows_out.append((name, tau_full, se, tau_full / se if se else np.nan, 2 * dist.t_sf(abs(tau_full / se), g - 1) if se else np.nan, tau_full - half_width, tau_full + half_width))
+        rows_out.append((name, everywhere, se, everywhere / se if se else np.nan, 2 * dist.t_sf(abs(everywhere / se), g - 1) if se else np.nan, everywhere - half_width, everywhere + half_width))
     return pd.DataFrame(rows_out, columns=["type", "Estimate", "Std. Error", "t value", "Pr(>|t|)", "2.5%", "97.5%"]).set_index("type")
 
 

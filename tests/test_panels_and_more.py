@@ -92,8 +92,64 @@ def test_wild_bootstrap(data):
     r = wildboottest(m, 499, "noise", seed=1)
     assert abs(r["Pr(>|t|)"] - m.pvalue()[1]) < 0.25
     assert wildboottest(m, 199, "X2", seed=1)["Pr(>|t|)"] < 0.05
-    with pytest.raises(ValueError):
-        wildboottest(feols("Y ~ X2 | f1", data), 9, "X2")
+    with pytest.raises(ValueError, match="one cluster variable"):
+        wildboottest(feols("Y ~ X2", data.dropna(), vcov={"CRV1": "group_id + f1"}), 9, "X2")
+    kept = m.V.copy()
+    wildboottest(m, 9, "X2", cluster="f2")
+    assert np.array_equal(kept, m.V)
+
+
+def brute_wild(x, y, groups, at, signs):
+    """Sample t and drawn t, by refits of every drawn outcome. x: all regressors, dummies too."""
+    g, codes = len(np.unique(groups)), np.unique(groups, return_inverse=True)[1]
+    bread = np.linalg.pinv(x.T @ x)
+    rest = np.delete(x, at, axis=1)
+
+    def t_of(y):
+        beta = bread @ x.T @ y
+        u = y - x @ beta
+        s = np.stack([x[codes == c].T @ u[codes == c] for c in range(g)])
+        return beta[at] / np.sqrt((bread @ s.T @ s @ bread)[at, at])
+
+    fit = rest @ np.linalg.pinv(rest) @ y
+    return t_of(y), np.array([t_of(fit + v[codes] * (y - fit)) for v in signs])
+
+
+@pytest.mark.parametrize("fe", ["", " | f2", " | seven"])
+def test_wild_bootstrap_lists_all_signs_and_takes_effects(data, fe):
+    d = data.dropna().withColumn("seven", F.pmod("group_id", F.lit(7))).withColumn("noise", F.rand(5) + F.col("X1") * 0.1).cache()
+    p = d.toPandas()
+    m = feols(f"Y ~ noise + X2{fe}", d, vcov={"CRV1": "seven"}, fixef_rm="none")
+    x = np.column_stack([p.noise, p.X2, *([pd.get_dummies(p[fe[3:]]).to_numpy(float)] if fe else [np.ones(len(p))])])
+    signs = np.array(np.meshgrid(*[[-1.0, 1.0]] * 7)).reshape(7, -1).T
+    t, drawn = brute_wild(x, p.Y.to_numpy(), p.seven.to_numpy(), 0, signs)
+    r = wildboottest(m, 128, "noise")
+    assert r["Pr(>|t|)"] == pytest.approx(np.mean(np.abs(drawn) >= abs(t) * (1 - 1e-9)))
+
+
+def test_cluster_variance_by_a_plain_loop(spark, data):
+    """The published sums, cluster by cluster, on the same split."""
+    d = data.dropna().withColumn("D", (F.col("Z1") > 1).cast("double")).select("Y", "D", "X1", "group_id").cache()
+    m = feols("Y ~ D + X1", d, vcov={"CRV1": "group_id"})
+    rows = m.score_rows().withColumn("__row", F.monotonically_increasing_id()).withColumn("z", F.pmod(F.xxhash64("__row", F.lit(0), F.lit(0)), F.lit(2)) == 1).toPandas()
+    ols = lambda t: np.linalg.lstsq(np.column_stack([np.ones(len(t)), t.D, t.X1]), t.Y, rcond=None)[0]
+    fit, score, n = rows[rows.z], rows[~rows.z], len(rows)
+    coef = ols(fit)
+    w, z = fit.D.mean(), len(score) / n
+    parts = spread = 0.0
+    for c, t in rows.groupby("group_id"):
+        a, b = t[t.z], t[~t.z]
+        near = ols(a)[1] if a.D.nunique() > 1 else coef[1]
+        full = ols(t)[1] if t.D.nunique() > 1 else m.beta[1]
+        e = (b.D - w) * (b.Y - coef[0] - coef[1] * b.D - coef[2] * b.X1) - (near - coef[1]) * w * (1 - w)
+        parts += e.sum() ** 2 / z**2 - (1 - z) / z**2 * (e**2).sum()
+        spread += len(t) / n * (full - coef[1]) ** 2
+    groups = rows.group_id.nunique()
+    for pk in (1.0, 0.5):
+        v = (parts / (n * w**2 * (1 - w) ** 2) + groups * (1 - pk) * spread) / n
+        assert ccv(m, "D", "group_id", pk=pk, n_splits=1).loc["CCV", "Std. Error"] == pytest.approx(np.sqrt(v))
+    with pytest.raises(ValueError, match="binary"):
+        ccv(feols("Y ~ X1", d, vcov={"CRV1": "group_id"}), "X1", "group_id")
 
 
 def test_randomisation_and_cluster_variance(data):
@@ -108,7 +164,7 @@ def test_randomisation_and_cluster_variance(data):
 
 def test_several_hypotheses(data):
     ms = feols("Y + Y2 ~ X1 + X2", data, vcov={"CRV1": "group_id"})
-    for fn, row in ((bonferroni, "Bonferroni Pr(>|t|)"), (lambda m, p: rwolf(m, p, 99, 1), "RW Pr(>|t|)"), (lambda m, p: wyoung(m, p, 99, 1), "WY Pr(>|t|)")):
+    for fn, row in ((bonferroni, "Bonferroni Pr(>|t|)"), (lambda m, p: rwolf(m, p, 99, 1), "RW Pr(>|t|)"), (lambda m, p: wyoung(m, p, 99, 1), "WY Pr(>|t|)"), (lambda m, p: rwolf(m, p, 32, 1, "ri"), "RW Pr(>|t|)"), (lambda m, p: wyoung(m, p, 32, 1, "ri"), "WY Pr(>|t|)")):
         t = fn(ms, "X1")
         assert (t.loc[row].astype(float) >= t.loc["Pr(>|t|)"].astype(float) - 0.02).all()
 
