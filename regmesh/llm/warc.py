@@ -206,7 +206,8 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(spark, "warc-read")
     found = scratch.cut(candidates(spark, path))
     chain = scratch.cut(_chain(found))
-    return found.join(chain.where("at is not null").select("file", "at"), ["file", "at"]), chain.where("at is null and reached <> size").select("file", "size", "reached")
+    kept = chain.where("at is not null").select("file", "at").hint("merge")  # as many rows as records: never a broadcast
+    return found.join(kept, ["file", "at"]), chain.where("at is null and reached <> size").select("file", "size", "reached")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
