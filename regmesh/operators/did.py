@@ -12,7 +12,7 @@ from ..api import feols
 from ..functions import distributions as dist
 from ..plans.design import build, project
 from ..plans.formula import Formula
-from .absorb import solve_normal
+from .absorb import solve_cells
 from .model import LinearModel, Options, _linear
 from .moments import product_sums, square
 from .ols import Ssc, spd_inverse
@@ -34,7 +34,7 @@ def first_treated(data: DataFrame, idname: str, tname: str, treat: str) -> DataF
     return data.withColumn("first_treated_period", F.min(F.when(F.col(f"`{treat}`").cast("int") == 1, F.col(f"`{tname}`"))).over(w))
 
 
-def event_study(data: DataFrame, yname: str, idname: str, tname: str, gname: str, xfml: str | None = None, cluster: str | None = None, estimator: str = "twfe", att: bool = True, weights: str | None = None):
+def event_study(data: DataFrame, yname: str, idname: str, tname: str, gname: str, xfml: str | None = None, cluster: str | None = None, estimator: str = "twfe", att: bool = True, weights: str | None = None, max_cells: int | None = None):
     """An event study by one of twfe, did2s, saturated."""
     for c in (yname, idname, tname, gname, cluster or idname):
         if c not in data.columns:
@@ -46,11 +46,11 @@ def event_study(data: DataFrame, yname: str, idname: str, tname: str, gname: str
         main = "is_treated" if att else "i(rel_event, ref=-1.0)"
         if not att:  # never-treated rows have no event time: the reference cell
             df = df.withColumn("rel_event", F.when(F.abs(F.col("rel_time")) == NEVER, F.lit(-1.0)).otherwise(F.col("rel_time")))
-        return feols(f"{yname} ~ {main}{extra} | {idname} + {tname}", df, vcov={"CRV1": cluster}, weights=weights)
+        return feols(f"{yname} ~ {main}{extra} | {idname} + {tname}", df, vcov={"CRV1": cluster}, weights=weights, max_cells=max_cells)
     if estimator == "did2s":
         df = df.withColumn("rel_event", F.when(F.abs(F.col("rel_time")) == NEVER, F.lit(-1.0)).otherwise(F.col("rel_time")))
         second = "~ is_treated" if att else "~ i(rel_event, ref=-1.0)"
-        return did2s(df, yname, f"~ {xfml or '0'} | {idname} + {tname}", second, "is_treated", cluster, weights)
+        return did2s(df, yname, f"~ {xfml or '0'} | {idname} + {tname}", second, "is_treated", cluster, weights, max_cells)
     if estimator == "saturated":
         return SaturatedEventStudy(df, yname, idname, tname, xfml, cluster)
     raise ValueError("estimator is twfe, did2s or saturated")
@@ -59,9 +59,9 @@ def event_study(data: DataFrame, yname: str, idname: str, tname: str, gname: str
 # --- two stages -----------------------------------------------------------------
 
 
-def did2s(data: DataFrame, yname: str, first_stage: str, second_stage: str, treatment: str, cluster: str, weights: str | None = None) -> LinearModel:
+def did2s(data: DataFrame, yname: str, first_stage: str, second_stage: str, treatment: str, cluster: str, weights: str | None = None, max_cells: int | None = None) -> LinearModel:
     """Two-stage estimator: effects from untreated rows, then the treatment on what they leave; errors account for both stages."""
-    one = feols(f"{yname} {first_stage}", data.where(~F.col(f"`{treatment}`").cast("boolean")), weights=weights, fixef_rm="none")
+    one = feols(f"{yname} {first_stage}", data.where(~F.col(f"`{treatment}`").cast("boolean")), weights=weights, fixef_rm="none", max_cells=max_cells)
     if not isinstance(one, LinearModel):
         raise ValueError("stepwise formulas are not available in the two stages")
     rows, fit, _ = one._linear_predictor(data)
@@ -81,7 +81,7 @@ def did2s(data: DataFrame, yname: str, first_stage: str, second_stage: str, trea
 
 
 def _two_stage_vcov(one: LinearModel, two: LinearModel, data: DataFrame, frame: DataFrame, treatment: str, cluster: str) -> tuple[np.ndarray, list[int]]:
-    """Sandwich of the joint moment conditions; the first stage's indicators are solved over levels, never laid out."""
+    """Sandwich of the joint moment conditions; the first stage's indicators are solved over levels, on the driver or by groups, never laid out."""
     d, k = one.design, two.k
     # both designs over all rows: first-stage columns from its formula, second-stage columns from its own
     rows, names = project(d.formula, frame, d.state, fitted=True, with_y=False, context=d.spec.get("context"))
@@ -101,31 +101,17 @@ def _two_stage_vcov(one: LinearModel, two: LinearModel, data: DataFrame, frame:
     xx = square(got[: q * (q + 1) // 2], q)
     bx = np.array(got[q * (q + 1) // 2 :], dtype=float).reshape(q, k) if q else np.zeros((0, k))
     if f1:
-        cells = second.groupBy(*f1).agg(*sums)
-        if cells.count() > one.options.max_cells:
-            raise ValueError("too many cells of the fixed effects for the two-stage covariance")
-        table = cells.toPandas()
-        coded = [pd.factorize(table[f]) for f in f1]
-        codes, sizes = [c for c, _ in coded], [len(u) for _, u in coded]
-        w0 = table["w0"].to_numpy(float)
-        add = lambda c, m, v: np.column_stack([np.bincount(c, weights=v[:, i], minlength=m) for i in range(v.shape[1])]) if v.shape[1] else np.zeros((m, 0))
-        px = table[[f"p{j}" for j in range(q)]].to_numpy(float)
-        b2 = table[[f"b{m}" for m in range(k)]].to_numpy(float)
-        bd = [add(c, m, b2) for c, m in zip(codes, sizes, strict=True)]
-        dx = [add(c, m, px) for c, m in zip(codes, sizes, strict=True)]
-        if q:
-            ax, _ = solve_normal(codes, sizes, w0, dx)
-            inner = xx - sum(a.T @ x for a, x in zip(ax, dx, strict=True))
-            gx = spd_inverse(inner) @ (bx - sum(a.T @ b for a, b in zip(ax, bd, strict=True)))
-        else:
-            gx = np.zeros((0, k))
-        gd, _ = solve_normal(codes, sizes, w0, [b - x @ gx for b, x in zip(bd, dx, strict=True)])
+        cells = second.groupBy(*f1).agg(*sums).persist()
+        o = one.options
+        found = solve_cells(cells, f1, "w0", [*[f"p{j}" for j in range(q)], *[f"b{m}" for m in range(k)]], o.tol, o.max_iter, max(0, o.max_cells))
+        cells.unpersist()
+        if found is None:
+            raise ValueError("too many levels of the smaller effects for the two-stage covariance")
+        gx = spd_inverse(xx - found.cross[:q, :q]) @ (bx - found.cross[:q, q:]) if q else np.zeros((0, k))
         rows2 = second
-        for i, (f, (_, u), g) in enumerate(zip(f1, coded, gd, strict=True)):
-            t = pd.DataFrame(g, columns=[f"g{i}_{m}" for m in range(k)])
-            t.insert(0, f"lv{i}", np.asarray(u))
-            level = second.sparkSession.createDataFrame(t, f"lv{i} {second.schema[f].dataType.simpleString()}, " + ", ".join(f"g{i}_{m} double" for m in range(k)))
-            rows2 = rows2.join(level, F.col(f) == F.col(f"lv{i}"), "inner")
+        for i, (f, table) in enumerate(zip(f1, found.levels, strict=True)):  # the solution for x2 less what the covariates take
+            made = [(F.col(f"a{q + m}") - _linear([F.col(f"a{j}") for j in range(q)], gx[:, m])).alias(f"g{i}_{m}") for m in range(k)]
+            rows2 = rows2.join(table.select(F.col("__f").alias(f"lv{i}"), *made), F.col(f) == F.col(f"lv{i}"), "inner")
     else:
         gx, rows2 = spd_inverse(xx) @ bx, second
     u2 = F.col("__y") - _linear(x2, two.beta)
@@ -150,9 +136,9 @@ class SaturatedEventStudy:
     def __init__(self, df: DataFrame, yname: str, idname: str, tname: str, xfml: str | None, cluster: str):
         treated = F.abs(F.col("rel_time")) != NEVER
         self.df = df.withColumn("rel_cell", F.when(treated, F.col("rel_time")).otherwise(-1.0)).withColumn("cohort_cell", F.when(treated, F.col("first_treated_period")).otherwise(0.0))
-        got = self.df.where(treated).groupBy("cohort_cell", "rel_cell").agg(F.count(F.lit(1)).alias("n")).collect()  # cohorts times periods
-        self.cells = sorted((r.cohort_cell, r.rel_cell, r.n) for r in got)
-        used = [(c, r) for c, r, _ in self.cells if r != -1.0]
+        got = self.df.where(treated).select("cohort_cell", "rel_cell").distinct().collect()  # cohorts times periods
+        used = sorted((r.cohort_cell, r.rel_cell) for r in got if r.rel_cell != -1.0)
+        self.shares = shares_by_period(self.df)
         self.names = {f"rel_time::{r}:first_treated_period::{c}": (c, r) for c, r in used}
         columns = {f"c_{i}": ((F.col("cohort_cell") == c) & (F.col("rel_cell") == r)).cast("double") for i, (c, r) in enumerate(used)}
         frame = self.df.withColumns(columns)
@@ -167,10 +153,7 @@ class SaturatedEventStudy:
 
     def weights(self) -> dict[tuple[float, float], float]:
         """Share of each cohort among the rows of its event time."""
-        total: dict[float, int] = {}
-        for _, r, n in self.cells:
-            total[r] = total.get(r, 0) + n
-        return {(c, r): n / total[r] for c, r, n in self.cells}
+        return {(r.cohort, r.period): r.share for r in self.shares.collect()}  # cohorts times periods
 
     def aggregate(self, agg: str = "period", weighting: str = "shares", alpha: float = 0.05) -> pd.DataFrame:
         """Average effects by event time; inference is normal."""
@@ -207,6 +190,24 @@ class SaturatedEventStudy:
 # --- local projections ----------------------------------------------------------
 
 
+def _own(idname: str, tname: str) -> Window:
+    return Window.partitionBy(F.col(f"`{idname}`")).orderBy(F.col(f"`{tname}`"))
+
+
+def switched(df: DataFrame, yname: str, idname: str, tname: str) -> DataFrame:
+    """df (from did_columns) with the outcome before (lp_lag) and whether treatment begins (treat_diff, null in a unit's first row)."""
+    w, d = _own(idname, tname), F.col("is_treated")
+    before = F.lag(d, 1).over(w)
+    return df.select("*", F.lag(F.col(f"`{yname}`").cast("double"), 1).over(w).alias("lp_lag"), F.when(before.isNotNull(), F.greatest(d - before, F.lit(0))).alias("treat_diff"))
+
+
+def horizon(rows: DataFrame, yname: str, idname: str, tname: str, h: int) -> DataFrame:
+    """Rows (from switched) that begin treatment, or are clean controls h periods on, with the long difference lp_dy."""
+    w, y, d = _own(idname, tname), F.col(f"`{yname}`").cast("double"), F.col("is_treated")
+    there, far = (F.lead(y, h).over(w), F.lead(d, h).over(w)) if h >= 0 else (F.lag(y, -h).over(w), d)
+    return rows.withColumn("lp_dy", there - F.col("lp_lag")).withColumn("lp_far", far).where("treat_diff = 1 or lp_far = 0")
+
+
 def lpdid(data: DataFrame, yname: str, idname: str, tname: str, gname: str, att: bool = True, pre_window: int | None = None, post_window: int | None = None, xfml: str | None = None, cluster: str | None = None) -> pd.DataFrame:
     """Effects by horizon: long differences of the outcome on the change of treatment among clean controls, with period effects."""
     cluster = cluster or idname
@@ -216,10 +217,8 @@ def lpdid(data: DataFrame, yname: str, idname: str, tname: str, gname: str, att:
         r = df.where(F.abs(F.col("rel_time")) != NEVER).agg(F.min("rel_time"), F.max("rel_time")).first()
         pre_window = int(-r[0]) if pre_window is None else pre_window
         post_window = int(r[1]) if post_window is None else post_window
-    w = Window.partitionBy(F.col(f"`{idname}`")).orderBy(t)
-    y, d = F.col(f"`{yname}`").cast("double"), F.col("is_treated")
-    base = df.select("*", F.lag(y, 1).over(w).alias("lp_lag"), F.greatest(d - F.lag(d, 1).over(w), F.lit(0)).alias("treat_diff"))
-    base = base.withColumn("treat_diff", F.when(F.lag(d, 1).over(w).isNotNull(), F.col("treat_diff")))
+    w, y, d = _own(idname, tname), F.col(f"`{yname}`").cast("double"), F.col("is_treated")
+    base = switched(df, yname, idname, tname)
     extra, out = f" + {xfml}" if xfml else "", []
 
     def fit(rows: DataFrame, label) -> None:
@@ -234,11 +233,9 @@ def lpdid(data: DataFrame, yname: str, idname: str, tname: str, gname: str, att:
         fit(rows, "ATT")
     else:
         for h in range(0, post_window + 1):
-            rows = base.withColumn("lp_dy", F.lead(y, h).over(w) - F.col("lp_lag")).withColumn("lp_far", F.lead(d, h).over(w)).where("treat_diff = 1 or lp_far = 0")
-            fit(rows, f"time_to_treatment::{h}")
+            fit(horizon(base, yname, idname, tname, h), f"time_to_treatment::{h}")
         for h in range(2, pre_window + 1):
-            rows = base.withColumn("lp_dy", F.lag(y, h).over(w) - F.col("lp_lag")).where("treat_diff = 1 or is_treated = 0")
-            fit(rows, f"time_to_treatment::{-h}")
+            fit(horizon(base, yname, idname, tname, -h), f"time_to_treatment::{-h}")
     return pd.DataFrame(out).set_index("Coefficient")
 
 
@@ -264,11 +261,23 @@ def panelview(data: DataFrame, unit: str, time: str, treat: str, outcome: str |
     return out
 
 
+def shares_by_period(rows: DataFrame) -> DataFrame:
+    """cohort, period, n, share of rows that did_columns made: ever-treated rows by cohort, as shares within the event time.
+
+    Every cohort has every period; those without rows count zero.
+    """
+    n = rows.where(F.abs(F.col("rel_time")) != NEVER).groupBy(F.col("first_treated_period").alias("cohort"), F.col("rel_time").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    periods = [r[0] for r in n.select("period").distinct().orderBy("period").limit(4001).collect()]
+    if len(periods) > 4000:
+        raise ValueError("more than 4000 event times")
+    grid = n.select("cohort").distinct().select("cohort", F.explode(F.lit(periods) if periods else F.array().cast("array<double>")).alias("period"))
+    full = grid.join(n, ["cohort", "period"], "left").na.fill(0, ["n"])
+    return full.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("period")))
+
+
 def interaction_weights(data: DataFrame, idname: str, tname: str, gname: str) -> DataFrame:
     """cohort, period, n, share: treated rows after, ever-treated untreated rows before, as shares within the event time."""
-    df = did_columns(data, idname, tname, gname).where(F.abs(F.col("rel_time")) != NEVER)
-    n = df.groupBy(F.col("first_treated_period").alias("cohort"), F.col("rel_time").alias("period")).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("period")))
+    return shares_by_period(did_columns(data, idname, tname, gname))
 
 
-__all__ = ["NEVER", "SaturatedEventStudy", "did2s", "did_columns", "event_study", "first_treated", "interaction_weights", "lpdid", "panelview"]
+__all__ = ["NEVER", "SaturatedEventStudy", "did2s", "did_columns", "event_study", "first_treated", "horizon", "interaction_weights", "lpdid", "panelview", "shares_by_period", "switched"]

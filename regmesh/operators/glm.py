@@ -1,8 +1,8 @@
 """Generalised linear models with fixed effects, by iteratively reweighted least squares.
 
 No row-sized state is kept: the linear predictor is an expression of the coefficients
-and of one level table an effect, so an iteration is one absorption and one sum of the
-deviance, whatever the iteration's number. Level tables are gathered up to a checked
+and of one level table an effect. An iteration is one absorption, whose aggregation also sums
+the deviance, so a step is judged with the sums of the next one. Level tables are gathered up to a checked
 size and written in the shared folder beyond it.
 """
 
@@ -24,7 +24,7 @@ from ..plans.design import build
 from ..scratch import cut
 from .absorb import absorb, drop_singletons
 from .model import LinearModel, _linear
-from .moments import moments, pairs, product_sums, rough_centre, square
+from .moments import moments_with, pairs, product_sums, rough_centre, square
 from .ols import independent_columns, spd_inverse
 
 LEVELS_ON_DRIVER = 1_000_000
@@ -162,14 +162,21 @@ class GlmModel(LinearModel):
         return t.sparkSession.createDataFrame(t.toPandas(), t.schema)
 
     def _with_eta(self, tables: list[DataFrame] | None, beta: np.ndarray, x: list[str], constant: float, first: Column) -> DataFrame:
+        """The rows with the linear predictor. With effects the coefficients come as columns of the first level table, so
+        the generated code of an iteration is that of the last one and is compiled once."""
         rows, off = self.frame, F.col("__off") if self.design.has_offset else F.lit(0.0)
         if tables is None:
             return rows.withColumn("__eta", first)
-        eta = off + F.lit(constant) + _linear([F.col(c) for c in x], beta)
+        if not tables:
+            return rows.withColumn("__eta", off + F.lit(constant) + _linear([F.col(c) for c in x], beta))
+        eta, drop = off, []
         for i, t in enumerate(tables):
-            rows = rows.join(t.select(F.col("__f").alias(f"__l{i}"), F.col("c").alias(f"__c{i}")), F.col(self.design.f[i]) == F.col(f"__l{i}"), "inner")
-            eta = eta + F.col(f"__c{i}")
-        return rows.withColumn("__eta", eta).drop(*[f"__{k}{i}" for i in range(len(tables)) for k in "lc"])
+            more = [F.lit(float(b)).alias(f"__b{j}") for j, b in enumerate(beta)] if not i else []
+            rows = rows.join(t.select(F.col("__f").alias(f"__l{i}"), (F.col("c") + F.lit(0.0 if i else constant)).alias(f"__c{i}"), *more), F.col(self.design.f[i]) == F.col(f"__l{i}"), "inner")
+            eta, drop = eta + F.col(f"__c{i}"), [*drop, f"__l{i}", f"__c{i}"]
+        for j, c in enumerate(x):
+            eta, drop = eta + F.col(c) * F.col(f"__b{j}"), [*drop, f"__b{j}"]
+        return rows.withColumn("__eta", eta).drop(*drop)
 
     def _fit(self) -> None:
         d, fam = self.design, self.family
@@ -194,28 +201,39 @@ class GlmModel(LinearModel):
         labels = [n for n in d.x_names if n != "Intercept"]
         centre = np.zeros(len(xs)) if not self.intercept and not d.fe else rough_centre(self.frame, xs) if xs else np.zeros(0)
         xc = [F.col(c) - F.lit(float(m)) for c, m in zip(xs, centre, strict=True)]
-        tables: list[DataFrame] | None = None
         beta, constant, active = np.zeros(0), 0.0, list(range(len(xs)))
         start = fam.start(y, w0, y_mean)
-        deviance, self.converged = None, False
-
-        def evaluate(tables, beta, constant, active):
-            rows = self._with_eta(tables, beta, [xs[i] for i in active], constant, start)
-            return rows, float(rows.agg(F.sum(w0 * fam.deviance(y, fam.inverse(F.col("__eta"))))).first()[0])
-
-        rows, deviance = evaluate(None, beta, constant, active)
-        for self.iterations in range(1, self.iwls_maxiter + 1):
+        before, self.converged, halved = None, False, 0  # before: the last accepted estimate and its deviance
+        now = (None, beta, constant)
+        self.iterations = 0
+        while self.iterations <= self.iwls_maxiter:
+            rows = self._with_eta(now[0], now[1], [xs[i] for i in active], now[2], start)
             eta = F.col("__eta")
             mu = fam.inverse(eta)
             slope = fam.slope(mu, eta)
-            work = rows.withColumn("__work", w0 / (slope * slope * fam.variance(mu))).withColumn("__zz", eta - off + (y - mu) * slope)
+            work = rows.withColumn("__work", w0 / (slope * slope * fam.variance(mu))).withColumn("__zz", eta - off + (y - mu) * slope).withColumn("__dev", w0 * fam.deviance(y, mu))
             cols = [F.col("__zz"), *[xc[i] for i in active]]
+            # one pass gives the deviance of the estimate and the sums for the next one
             if d.fe:
-                got = absorb(work, cols, F.col("__work"), d.f, self.options.tol, self.options.max_iter, self.options.max_cells)
-                gram = got.gram
+                got = absorb(work, cols, F.col("__work"), d.f, self.options.tol, self.options.max_iter, self.options.max_cells, extra=F.col("__dev"))
+                gram, deviance = got.gram, got.extra
             else:
-                n, sums, m = moments(work, cols, F.col("__work"))
+                total, m, deviance = moments_with(work, cols, F.col("__work"), F.col("__dev"))
                 gram = m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0] if self.intercept else m[1:, 1:]
+            if before is not None:
+                (old, last), worse = before, not np.isfinite(deviance) or deviance > before[1] * (1 + 1e-12) + 1e-12
+                if worse and old[0] is not None and halved < 12 and fam.name != "gaussian":
+                    halved += 1  # half way back to the last estimate
+                    mixed = [self._small(a.alias("a").join(b.alias("b"), "__f").select("__f", ((F.col("a.c") + F.col("b.c")) / 2).alias("c"))) for a, b in zip(now[0], old[0], strict=True)]
+                    now = (mixed, (now[1] + old[1]) / 2, (now[2] + old[2]) / 2)
+                    continue
+                if fam.name == "gaussian" or abs(deviance - last) / (0.1 + abs(last)) < self.iwls_tol:
+                    self.converged = True
+                    break
+            before, halved = (now, deviance), 0
+            self.iterations += 1
+            if self.iterations > self.iwls_maxiter:
+                break
             if self.iterations == 1:
                 ok = independent_columns(gram[1:, 1:], self.options.collin_tol)
                 self.collinear = [labels[i] for i, k in zip(active, ok, strict=True) if not k]
@@ -231,31 +249,16 @@ class GlmModel(LinearModel):
                     fresh = [spark.createDataFrame(t[["__f"]].assign(c=t["a0"] - t[[f"a{j}" for j in sel[1:]]].to_numpy() @ slopes), f"__f {self.frame.schema[f].dataType.simpleString()}, c double") for t, f in zip(got.local, d.f, strict=True)]
                 else:
                     fresh = [self._small(t.select("__f", (F.col("a0") - _linear([F.col(f"a{j}") for j in sel[1:]], slopes)).alias("c"))) for t in got.levels]
-                new = (fresh, slopes, -shift)
+                now = (fresh, slopes, -shift)
             elif self.intercept:
                 means = m[0, 1:][sel] / m[0, 0]
-                new = ([], slopes, float(means[0] - means[1:] @ slopes) - shift)
+                now = ([], slopes, float(means[0] - means[1:] @ slopes) - shift)
             else:
-                new = ([], slopes, 0.0)
-            rows_new, dev_new = evaluate(*new, active)
-            halved = 0
-            while tables is not None and (not np.isfinite(dev_new) or dev_new > deviance * (1 + 1e-12) + 1e-12) and halved < 12 and fam.name != "gaussian":
-                halved += 1  # half way back to the last estimate
-                mixed = [self._small(a.alias("a").join(b.alias("b"), "__f").select("__f", ((F.col("a.c") + F.col("b.c")) / 2).alias("c"))) for a, b in zip(new[0], tables, strict=True)]
-                new = (mixed, (new[1] + beta) / 2, (new[2] + constant) / 2)
-                rows_new, dev_new = evaluate(*new, active)
-            change = abs(dev_new - deviance) / (0.1 + abs(deviance))
-            (tables, beta, constant), rows, deviance = new, rows_new, dev_new
-            if fam.name == "gaussian" or change < self.iwls_tol:
-                self.converged = True
-                break
+                now = ([], slopes, 0.0)
         if not self.converged:
             raise NonConvergenceError(f"no convergence in {self.iwls_maxiter} iterations")
         self.deviance, self._active = deviance, active
         # one last weighted regression at the estimate gives the bread, the scores and the levels
-        eta = F.col("__eta")
-        mu = fam.inverse(eta)
-        slope = fam.slope(mu, eta)
         final = rows.withColumn("__work", w0 / (slope * slope * fam.variance(mu))).withColumn("__zz", eta - off + (y - mu) * slope).withColumn("__mu", mu)
         keep = [c for c in d.x_names if c == "Intercept" or c in [labels[i] for i in active]]
         self._finish(final, keep)

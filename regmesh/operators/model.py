@@ -218,7 +218,7 @@ class LinearModel:
         if name in ("HC2", "HC3"):
             h = _quadratic(m, self.bread) * (F.lit(1.0) if frequency else w)
             scale = scale / (F.lit(1.0) - h if name == "HC2" else F.pow(F.lit(1.0) - h, 2))
-        return square(rows.agg(*product_sums(m, scale)).first(), self.k)
+        return moments(rows, m, scale)[2][1:, 1:]
 
     def _cluster_checks(self, clusters: list[str], rows: DataFrame) -> None:
         for c in clusters:
@@ -270,9 +270,11 @@ class LinearModel:
         return self.score_rows().groupBy(*[F.col(f"`{c}`") for c in clusters]).agg(*[F.sum(s).alias(f"g{j}") for j, s in enumerate(self._s)])
 
     def _cluster_meat(self, rows: DataFrame, clusters: list[str]) -> tuple[np.ndarray, int]:
+        if not self.k:
+            return np.zeros((0, 0)), rows.select(*[F.col(f"`{c}`") for c in clusters]).distinct().count()
         sums = rows.groupBy(*[F.col(f"`{c}`") for c in clusters]).agg(*[F.sum(s).alias(f"g{j}") for j, s in enumerate(self._s)])
-        got = list(sums.agg(F.count(F.lit(1)), *product_sums([F.col(f"g{j}") for j in range(self.k)])).first())
-        return square(got[1:], self.k), int(got[0])
+        n, _, m = moments(sums, [F.col(f"g{j}") for j in range(self.k)], F.lit(1.0))
+        return m[1:, 1:], int(n)
 
     def _jackknife(self, clusters: list[str]) -> np.ndarray:
         """Leave-one-cluster-out coefficients around the estimate, from each cluster's own cross products."""

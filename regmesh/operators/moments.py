@@ -57,3 +57,14 @@ def moments(frame: DataFrame, cols: list[Column], w: Column) -> tuple[float, np.
     got = rows.agg(F.sum("n"), *[F.sum(F.col("m")[i]) for i in range((k + 1) ** 2)]).first()
     m = np.array(got[1:], dtype=float).reshape(k + 1, k + 1)
     return float(got[0]), m[0], m
+
+
+def moments_with(frame: DataFrame, cols: list[Column], w: Column, extra: Column) -> tuple[float, np.ndarray, float]:
+    """Rows, weighted products of [1, cols], and the plain sum of one more column, in one pass."""
+    k = len(cols)
+    if k <= WIDE:
+        got = list(frame.agg(F.count(F.lit(1)), F.sum(extra), *product_sums([F.lit(1.0), *cols], w)).first())
+        return float(got[0]), square(got[2:], k + 1), float(got[1] if got[1] is not None else np.nan)
+    # the extra column over the weight has the weighted sum that is its plain one
+    n, _, m = moments(frame, [*cols, extra / w], w)
+    return n, m[: k + 1, : k + 1], float(m[0, k + 1])

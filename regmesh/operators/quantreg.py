@@ -10,10 +10,11 @@ and rows found on the wrong side join the band. The band grows like n to the pow
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NonConvergenceError, VcovTypeNotSupportedError
@@ -24,7 +25,7 @@ from .model import LinearModel, Options, _linear
 from .moments import product_sums, square
 from .ols import Ssc, independent_columns, spd_inverse
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 50_000
 DIRECT_VALUES = 10_000_000  # rows times columns that the driver gathers at most
 
 
@@ -100,6 +101,30 @@ def bandwidth(tau: float, n: float, alpha: float = 0.05) -> float:
     return n ** (-1 / 3) * dist.norm_ppf(1 - alpha / 2) ** (2 / 3) * (1.5 * dist.norm_pdf(x0) ** 2 / (2 * x0 * x0 + 1)) ** (1 / 3)
 
 
+def exact_quantiles(rows: DataFrame, value: Column, probs: list[float], few: int = 100_000, accuracy: int = 10_000) -> list[float]:
+    """Interpolated quantiles, exact. Few values meet in one task; of more, sketches name a bracket for each rank, and only
+    the brackets' values, counted, come to the driver."""
+    rows = rows.select(value.alias("v")).where("v is not null")
+    edges = F.array(*[F.lit(min(1.0, max(0.0, p + s * 2 / accuracy))) for p in probs for s in (-1, 1)])
+    n, bounds = rows.agg(F.count("v"), F.percentile_approx("v", edges, accuracy)).first()
+    out: list[float] = []
+    if n > few:
+        pairs_of = [(bounds[2 * i], bounds[2 * i + 1]) for i in range(len(probs))]
+        inside = reduce(lambda a, b: a | b, [(F.col("v") >= lo) & (F.col("v") <= hi) for lo, hi in pairs_of])
+        below = rows.agg(*[F.count(F.when(F.col("v") < lo, 1)) for lo, _ in pairs_of]).first()
+        held = rows.where(inside).groupBy("v").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("v")
+        for p, (lo, hi), less in zip(probs, pairs_of, below, strict=True):
+            own = held[(held["v"] >= lo) & (held["v"] <= hi)]
+            last = less + own["n"].to_numpy().cumsum()
+            rank = (n - 1) * p
+            low, high = math.floor(rank), math.ceil(rank)
+            if low < less or not len(last) or high >= last[-1]:
+                break  # a sketch missed its rank
+            a, b = (float(own["v"].to_numpy()[np.searchsorted(last, k, side="right")]) for k in (low, high))
+            out.append(a + (rank - low) * (b - a))
+    return out if len(out) == len(probs) else [float(v) for v in rows.agg(*[F.percentile("v", p) for p in probs]).first()]
+
+
 class QuantileModel(LinearModel):
     """A fitted quantile regression."""
 
@@ -126,7 +151,7 @@ class QuantileModel(LinearModel):
         self.x_at, self.coefnames = 1 + keep, [d.x_names[i] for i in keep]
         self.xx, self.k = xx[np.ix_(keep, keep)], len(keep)
         self.xc = [d.x[i] for i in keep]
-        self.direct_rows = min(self.direct_rows, DIRECT_VALUES // (self.k + 1))
+        self.most_rows = max(self.direct_rows, DIRECT_VALUES // (self.k + 1))
         self.beta = self._solve_at(self.quantile, self.start)
         self.bread = spd_inverse(self.xx)
         self.rss = self.tss = float("nan")
@@ -141,7 +166,7 @@ class QuantileModel(LinearModel):
             x, y = self._gather(self.frame)
             return interior_point(x, y, tau)
         k, n = self.k, self.n
-        band = int(min(self.direct_rows / 2, max(10_000.0, 4 * (k ** (1 / 3)) * n ** (2 / 3))))
+        band = int(min(self.most_rows / 2, max(min(10_000.0, self.direct_rows / 2), 4 * (k ** (1 / 3)) * n ** (2 / 3))))
         if start is None:
             u = F.pmod(F.xxhash64("__y", *self.xc, F.lit(self.seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
             x, y = self._gather(self.frame.where(u < min(1.0, band / n)))
@@ -152,7 +177,7 @@ class QuantileModel(LinearModel):
             r = F.col("__y") - _linear(xc, beta)
             rows = self.frame.withColumn("__r", r)
             half = band / (2 * n)
-            lo, hi = rows.agg(F.percentile_approx("__r", F.array(F.lit(max(0.0, tau - half)), F.lit(min(1.0, tau + half))), 100_000)).first()[0]
+            lo, hi = rows.agg(F.percentile_approx("__r", F.array(F.lit(max(0.0, tau - half)), F.lit(min(1.0, tau + half))), 10_000)).first()[0]
             x, y = self._gather(rows.where((F.col("__r") >= lo) & (F.col("__r") <= hi)))
             globs = rows.where((F.col("__r") < lo) | (F.col("__r") > hi)).groupBy((F.col("__r") < lo).alias("low")).agg(F.sum("__y"), *[F.sum(c) for c in xc]).collect()  # two rows
             gx = np.array([list(g[2:]) for g in globs], dtype=float).reshape(-1, k)
@@ -174,7 +199,7 @@ class QuantileModel(LinearModel):
                     gy[i] -= b[2]
                 x, y = np.vstack([x, wx]), np.concatenate([y, wy])
                 rows = rows.where(~(((F.col("__r") < lo) & (fresh > 0)) | ((F.col("__r") > hi) & (fresh < 0))))
-            band = int(min(2 * band, self.direct_rows))
+            band = int(min(2 * band, self.most_rows))
         raise NonConvergenceError("the preprocessing did not settle")
 
     # --- covariance ------------------------------------------------------------
@@ -193,8 +218,8 @@ class QuantileModel(LinearModel):
             if kind.upper() != "CRV1" or "+" in cluster:
                 raise VcovTypeNotSupportedError("quantile regression clusters by CRV1 and one variable")
             self._cluster_checks([cluster], self.frame)
-            med = float(rows.agg(F.percentile("__u", 0.5)).first()[0])
-            kappa = float(rows.agg(F.percentile(F.abs(F.col("__u") - med), 0.5)).first()[0])
+            (med,) = exact_quantiles(rows, F.col("__u"), [0.5])
+            (kappa,) = exact_quantiles(rows, F.abs(F.col("__u") - F.lit(med)), [0.5])
             delta = kappa * width
             psi = F.lit(tau) - (F.col("__u") <= 0).cast("double")
             by = rows.groupBy(F.col(f"`{cluster}`")).agg(*[F.sum(psi * c).alias(f"g{j}") for j, c in enumerate(x)])
@@ -208,7 +233,7 @@ class QuantileModel(LinearModel):
             return self
         adj, _, self.df_t = ssc.factor("hetero" if vcov != "iid" else "iid", n, self.k, 0, 0)
         if vcov in ("iid", "hetero"):
-            q75, q25 = rows.agg(F.percentile(F.abs("__u"), 0.75), F.percentile(F.abs("__u"), 0.25)).first()
+            q75, q25 = exact_quantiles(rows, F.abs("__u"), [0.75, 0.25])
             hk = min(self.sigma_y, (q75 - q25) / 1.34) * width
             f = float(rows.agg(F.sum((F.abs("__u") < hk).cast("double"))).first()[0]) / (2 * n * hk)
             self.V = adj * tau * (1 - tau) / f**2 * self.bread
@@ -265,7 +290,7 @@ def _one_step(model: QuantileModel, tau: float) -> np.ndarray:
     x = [F.col(c) for c in model.xc]
     u = F.col("__y") - _linear(x, model.beta)
     rows = model.frame.withColumn("__u", u)
-    q75, q25 = rows.agg(F.percentile(F.abs("__u"), 0.75), F.percentile(F.abs("__u"), 0.25)).first()
+    q75, q25 = exact_quantiles(rows, F.abs("__u"), [0.75, 0.25])
     h = bandwidth(model.quantile, model.n)
     hk = min(model.sigma_y, (q75 - q25) / 1.34) * (dist.norm_ppf(model.quantile + h) - dist.norm_ppf(model.quantile - h))
     inside = (F.abs("__u") < hk).cast("double") / (2 * hk)

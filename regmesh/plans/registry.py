@@ -23,6 +23,11 @@ def _query(sql: str | None = None):
     return keep
 
 
+def _replace_sql(name: str, sql: str) -> None:
+    """SQL for a query that stands elsewhere."""
+    _SQL[name] = sql
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -234,11 +239,15 @@ def singleton_filter(spark: SparkSession, sf: str) -> DataFrame:
     return kept.agg(F.count(F.lit(1)).alias("kept"), F.count_distinct("o_custkey").alias("levels"), F.lit(dropped).cast("long").alias("dropped"))
 
 
-@_query("SELECT 'p_partkey' AS effect, min(a = b) AS nested FROM (SELECT min(p_brand) AS a, max(p_brand) AS b FROM part GROUP BY p_partkey) UNION ALL SELECT 'p_brand', min(a = b) FROM (SELECT min(p_type) AS a, max(p_type) AS b FROM part GROUP BY p_brand)")
+@_query("SELECT 'p_partkey' AS effect, min(a = b) AS nested FROM (SELECT min(p_brand) AS a, max(p_brand) AS b FROM part GROUP BY p_partkey) UNION ALL SELECT 'p_type', min(a = b) FROM (SELECT min(p_brand) AS a, max(p_brand) AS b FROM part GROUP BY p_type)")
 def nested_fe_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Which effects the model takes as nested in its clusters."""
+    from ..api import feols
+
     p = _t(spark, sf, "part")
-    one = lambda f, c: p.groupBy(f).agg((F.min(c) == F.max(c)).alias("same")).agg(F.lit(f).alias("effect"), F.min("same").alias("nested"))
-    return one("p_partkey", "p_brand").unionByName(one("p_brand", "p_type"))
+    p = p.unionByName(p)  # two rows a part: no level is alone
+    out = [(f, bool(feols(f"p_retailprice ~ p_size | {f}", p, vcov={"CRV1": "p_brand"})._nested(["p_brand"])[1])) for f in ("p_partkey", "p_type")]
+    return _rows(spark, out, "effect string, nested boolean")
 
 
 _IV = """
@@ -426,22 +435,25 @@ def _did(spark: SparkSession, sf: str) -> DataFrame:
 _DID = f"WITH p AS (SELECT user_id, CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS t, avg(value) AS y, {_G} AS g FROM events GROUP BY 1, 2)"
 
 
-@_query(_DID + " SELECT g::DOUBLE AS cohort, (t - g)::DOUBLE AS period, count(*) AS n, round(count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY t - g), 9) AS share FROM p WHERE g > 0 GROUP BY g, t - g")
+@_query(_DID + ", n AS (SELECT g, t - g AS r, count(*) AS n FROM p WHERE g > 0 GROUP BY 1, 2), f AS (SELECT c.g, q.r, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT g FROM n) c CROSS JOIN (SELECT DISTINCT r FROM n) q LEFT JOIN n ON n.g = c.g AND n.r = q.r) SELECT g::DOUBLE AS cohort, r::DOUBLE AS period, n, round(n * 1.0 / sum(n) OVER (PARTITION BY r), 9) AS share FROM f")
 def interaction_weights(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import did
 
     return did.interaction_weights(_did(spark, sf), "user_id", "t", "g").withColumn("share", F.round("share", 9))
 
 
-@_query(_DID + ", w AS (SELECT *, lag(y, 1) OVER u AS y_lag, lead(y, 2) OVER u AS y_lead, (g > 0 AND t >= g)::INT AS d FROM p WINDOW u AS (PARTITION BY user_id ORDER BY t)) SELECT d, count(*) AS n, count(y_lag) AS n_lag, round(sum(y_lead - y_lag), 4) AS long_diff FROM w GROUP BY d")
+@_query(
+    _DID + """, e AS (SELECT *, (g > 0 AND t >= g)::INT AS d FROM p), w AS (SELECT *, lag(y) OVER u AS y_lag, CASE WHEN lag(d) OVER u IS NOT NULL THEN greatest(d - lag(d) OVER u, 0) END AS step, lead(y, 2) OVER u AS y2, lead(d, 2) OVER u AS d2, lag(y, 3) OVER u AS y_3 FROM e WINDOW u AS (PARTITION BY user_id ORDER BY t))
+SELECT 2 AS h, step AS treat_diff, count(*) AS n, count(y2 - y_lag) AS n_full, round(sum(y2 - y_lag), 4) AS long_diff FROM w WHERE step = 1 OR d2 = 0 GROUP BY step
+UNION ALL SELECT -3, step, count(*), count(y_3 - y_lag), round(sum(y_3 - y_lag), 4) FROM w WHERE step = 1 OR d = 0 GROUP BY step"""
+)
 def lag_diff_panel(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
+    """The rows that local projections stand on: long differences of switchers and clean controls."""
+    from ..operators.did import did_columns, horizon, switched
 
-    from ..operators.did import did_columns
-
-    w = Window.partitionBy("user_id").orderBy("t")
-    d = did_columns(_did(spark, sf), "user_id", "t", "g").select("is_treated", "y", F.lag("y", 1).over(w).alias("a"), F.lead("y", 2).over(w).alias("b"))
-    return d.groupBy(F.col("is_treated").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count("a").alias("n_lag"), F.round(F.sum(F.col("b") - F.col("a")), 4).alias("long_diff"))
+    base = switched(did_columns(_did(spark, sf), "user_id", "t", "g"), "y", "user_id", "t")
+    one = lambda h: horizon(base, "y", "user_id", "t", h).groupBy("treat_diff").agg(F.count(F.lit(1)).alias("n"), F.count("lp_dy").alias("n_full"), F.round(F.sum("lp_dy"), 4).alias("long_diff")).select(F.lit(h).alias("h"), "*")
+    return one(2).unionByName(one(-3))
 
 
 @_query(_DID + ", q AS (SELECT user_id, min(t) FILTER (WHERE g > 0 AND t >= g) AS first_treated_period FROM p GROUP BY user_id) SELECT first_treated_period::DOUBLE AS first_treated_period, count(*) AS users FROM q GROUP BY 1")
@@ -452,11 +464,6 @@ def first_treated(spark: SparkSession, sf: str) -> DataFrame:
     return did.first_treated(d, "user_id", "t", "d").groupBy("user_id").agg(F.first("first_treated_period").cast("double").alias("first_treated_period")).groupBy("first_treated_period").agg(F.count(F.lit(1)).alias("users"))
 
 
-@_query("SELECT l_returnflag, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 6) AS F, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O'), 6) AS O FROM lineitem GROUP BY 1")
-def panel_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.round(F.avg("l_quantity"), 6))
-
-
 @_query()
 def event_study_twfe(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.did import event_study
@@ -572,3 +579,6 @@ def formula_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
 
     m = feols("I(value + 0) ~ I(2 * user_id - user_id)", _t(spark, sf, "events"))
     return _rows(spark, [("price", round(float(m.beta[1]), 9))], "what string, estimate double")
+
+
+from . import formula_queries, more_queries  # noqa: E402, F401  they register their queries with the functions above

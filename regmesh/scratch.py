@@ -24,4 +24,13 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Writes df in the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/regmesh-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that cut() wrote and that nothing lazy still reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

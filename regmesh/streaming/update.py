@@ -88,11 +88,15 @@ def update(model, new_rows: DataFrame) -> np.ndarray:
     from ..plans.design import build
 
     extra = build(d.formula, new_rows, state=d.state, **d.spec)
-    cols = [F.col(c) for c in extra.x] + [F.col("__y")]
-    old, new = (moments(f, cols, F.lit(1.0))[2][1:, 1:] for f in (model.frame, extra.frame))
-    m = old + new
-    at = [d.x_names.index(n) for n in model.coefnames]
-    return spd_inverse(m[np.ix_(at, at)]) @ m[at, -1]
+    # the model's products are of columns less its rough centre: so are the new ones
+    _, sums, m = moments(extra.frame, [F.col(c) - F.lit(float(v)) for c, v in zip(model.names_all, model.centre, strict=True)], F.lit(1.0))
+    n, sums, total = model.sum_w + m[0, 0], model.absorbed.sums + sums[1:], model.absorbed.total + m[1:, 1:]
+    at = model.x_at
+    if not model.intercept:
+        return spd_inverse(total[np.ix_(at, at)]) @ total[at, 0]
+    gram, mean = total - np.outer(sums, sums) / n, sums / n + model.centre
+    slopes = spd_inverse(gram[np.ix_(at, at)]) @ gram[at, 0]
+    return np.concatenate([[mean[0] - mean[at] @ slopes], slopes])
 
 
 def stream_ols(spark: SparkSession, path: str, schema: T.StructType, y: str, x: list[str], fmt: str = "parquet", files_per_batch: int = 1, **options) -> OlsState:

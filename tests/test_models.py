@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from regmesh.api import feglm, feols, fepois
 from regmesh.errors import DepvarIsNotNumericError, DepvarOutsideDomainError, NanInClusterVarError, NonPositiveWeightsError, VcovTypeNotSupportedError
-from regmesh.operators.absorb import drop_singletons
+from regmesh.operators.absorb import Demeaner, drop_singletons
 from regmesh.sources.generators import akm_panel, get_bartik_data, get_data
 
 
@@ -69,10 +69,40 @@ def test_least_squares_with_effects(data, frame, fe, w):
 
 
 def test_sweeps_match_the_level_solve(data):
-    a, b = (feols("Y ~ X1 + X2 | f1 + f2", data, max_cells=c, tol=1e-12) for c in (None, 0))
+    a, b = (feols("Y ~ X1 + X2 | f1 + f2", data, demeaner=Demeaner(method=c, tol=1e-12)) for c in ("cg", "map"))
     assert np.allclose(a.beta, b.beta, atol=1e-6) and a.n == b.n
 
 
+@pytest.mark.parametrize("fe", ["f1 + f2", "f1 + f2 + f3"])
+def test_levels_solved_by_groups_match_the_driver(data, fe):
+    """max_cells=0: no cell comes to the driver."""
+    for w in (None, "weights"):
+        a, b = (feols(f"Y ~ X1 + X2 | {fe}", data, weights=w, vcov={"CRV1": "group_id"}, max_cells=c) for c in (None, 0))
+        assert np.allclose(a.beta, b.beta, atol=1e-8) and np.allclose(a.V, b.V, atol=1e-8) and a.n == b.n and a.k_fe == b.k_fe
+        assert b.absorbed.local is None and b.absorbed.gap < 1e-8
+    fx = [m.fixef().orderBy("variable", "level").toPandas() for m in (a, b)]
+    assert np.allclose(fx[0].coefficient, fx[1].coefficient, atol=1e-6) and (fx[0].level == fx[1].level).all()
+
+
+def test_other_estimators_without_cells_on_the_driver(spark, data):
+    from regmesh.operators.did import event_study
+
+    d = get_data(spark, 500, model="Fepois")
+    a, b = (fepois("Y ~ X1 + X2 | f1 + f2", d, max_cells=c) for c in (None, 0))
+    assert np.allclose(a.beta, b.beta, atol=1e-7) and np.allclose(a.se(), b.se(), atol=1e-7)
+    rng = np.random.default_rng(3)
+    p = pd.DataFrame([(u, t, (0, 5, 7)[u % 3]) for u in range(60) for t in range(10) if rng.random() < 0.95], columns=["u", "t", "g"])
+    p["y"] = rng.normal(size=len(p)) + p.u * 0.1 + p.t * 0.2 + ((p.g > 0) & (p.t >= p.g))
+    panel = spark.createDataFrame(p)
+    from regmesh.operators import absorb as module
+
+    one, two = (event_study(panel, "y", "u", "t", "g", estimator="did2s", att=False, max_cells=c) for c in (None, 0))
+    assert np.allclose(one.beta, two.beta, atol=1e-8) and np.allclose(one.se(), two.se(), atol=1e-8)
+    cells = panel.groupBy("u", "t").agg(F.count(F.lit(1)).alias("w"), F.sum("y").alias("s0"), F.sum(F.col("y") * F.col("t")).alias("s1"))
+    x, z = (module.solve_cells(cells, ["u", "t"], "w", ["s0", "s1"], 1e-12, 1000, c) for c in (10**6, 0))
+    assert np.allclose(x.cross, z.cross, atol=1e-6) and z.local is None
+
+
 def test_sparse_graphs_leave_no_gap(spark):
     m = feols("y ~ x1 | indiv_id + firm_id + year", akm_panel(spark, 300, 40, 6, move=0.05))
     assert m.absorbed.gap < 1e-6 and abs(m.beta[0] - 1) < 0.1
