@@ -9,6 +9,10 @@ keeps the dynamic program linear: it chooses boundaries and kinds jointly. Spans
 that it adds pass an exact check of their kind. The weights are trained here, on
 generated sentences (``examples``), by gradient ascent on the likelihood.
 
+Bounds of added spans, none of base ones: ``MAX_TOKENS`` tokens, 80 characters and 19
+digits; the stretch that is read reaches three words, of at most 60 characters each,
+to both sides of its anchor. A spelled-out address beyond them is not added.
+
 Defined results: a null text is the empty text and has no spans; offsets are code
 points, end exclusive; base spans always stay; an added span never overlaps one;
 an empty table gives an empty result; repeated rows each get a row; other columns
