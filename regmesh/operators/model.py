@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import EmptySampleError, NanInClusterVarError, NonPositiveWeightsError, VcovTypeNotSupportedError
 from ..functions import distributions as dist
 from ..plans.design import Design, build, project
+from ..scratch import cut
 from .absorb import MAX_CELLS, Absorbed, absorb, drop_singletons
 from .moments import moments, pairs, product_sums, rough_centre, square
 from .ols import Ssc, independent_columns, solve, spd_inverse
@@ -364,8 +365,13 @@ class LinearModel:
                 gamma = s[step:].T @ s[:-step]
                 meat += (1.0 - step / (lag + 1.0)) * (gamma + gamma.T)
             return meat
-        spark = by_time.sparkSession
-        numbered = spark.createDataFrame(by_time.orderBy("__t").select(*cols).rdd.zipWithIndex().map(lambda r: (r[1], *r[0])), "at long, " + ", ".join(f"{c} double" for c in cols))
+        # ranges of time, each sorted; a row's number is that in its range and the sizes of the ranges before
+        ranged = by_time.repartitionByRange("__t").sortWithinPartitions("__t").select(F.monotonically_increasing_id().alias("id"), *cols)
+        ranged = cut(ranged, "series")  # written: the numbers stay
+        part, own = F.shiftrightunsigned("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1))).collect())  # a row a range
+        starts = by_time.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "p long, start long")
+        numbered = ranged.join(F.broadcast(starts), part == F.col("p")).select((own + F.col("start")).alias("at"), *cols)
         out = numbered
         for step in range(1, lag + 1):
             out = out.join(numbered.select((F.col("at") + step).alias("at"), *[F.col(c).alias(f"l{step}_{j}") for j, c in enumerate(cols)]), "at", "left")

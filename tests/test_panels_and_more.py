@@ -86,6 +86,24 @@ def data(spark):
     return generators.get_data(spark, 800).cache()
 
 
+def test_a_long_series_is_numbered_by_ranges(spark, data):
+    m = feols("Y ~ X1 + X2", data)
+    rng = np.random.default_rng(1)
+    series = spark.createDataFrame(pd.DataFrame({"__t": rng.permutation(500), **{f"g{j}": rng.normal(size=500) for j in range(3)}})).repartition(7)
+    assert np.allclose(m._bartlett_series(series, 3), m._bartlett_series(series, 3, most=0), atol=1e-9)
+
+
+def test_quantiles_by_brackets_are_exact(spark):
+    from regmesh.operators.quantreg import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=30_000), np.full(9_000, 0.25), rng.integers(-3, 3, 5_000)])
+    df = spark.createDataFrame(pd.DataFrame({"v": v}))
+    probs = [0.0, 0.001, 0.25, 0.5, 0.61803, 1.0]
+    got = exact_quantiles(df, F.col("v"), probs, few=0, accuracy=500)
+    assert np.allclose(got, np.quantile(v, probs), atol=1e-12) and np.allclose(exact_quantiles(df, F.col("v"), probs), got, atol=1e-12)
+
+
 def test_wild_bootstrap(data):
     null = data.withColumn("noise", F.rand(3)).cache()
     m = feols("Y ~ noise + X2", null, vcov={"CRV1": "group_id"})
