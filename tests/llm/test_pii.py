@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from regmesh.llm import pii
@@ -59,3 +62,34 @@ def test_rows_and_redaction(spark):
     clean = {(r.doc_id, r.text) for r in pii.redact(df).collect()}
     assert (1, "write <EMAIL> or <PHONE> now") in clean and (2, None) in clean and pii.redact(df).columns == df.columns
     assert pii.find(df.limit(0)).count() == 0
+
+
+def every_segmentation_from(low, n, spans):
+    """All sets of spans that do not overlap, from a token on, by plain recursion."""
+    out = [[]]
+    for k, (i, j, _) in enumerate(spans):
+        if i >= low:
+            out += [[k, *rest] for rest in every_segmentation_from(j, n, spans)]
+    return out
+
+
+def test_decoding_and_marginals_match_all_segmentations():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(1, 7))
+        spans = sorted({(int(i), int(min(n, i + rng.integers(1, 4)))) for i in rng.integers(0, n, 6)})
+        spans = [(i, j, [k]) for k, (i, j) in enumerate(spans)]
+        field = pii.Field(rng.normal(0, 1.5, (len(spans), len(pii.KINDS))))
+        score = field.scores(spans)
+        sets = every_segmentation_from(0, n, spans)
+        best = max(sum(score[k].max() for k in s) for s in sets)
+        got = field.decode(n, spans)
+        at = {(i, j): k for k, (i, j, _) in enumerate(spans)}
+        assert sum(score[at[i, j], kind] for i, j, kind in got) == pytest.approx(best)
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        weight = [np.prod([np.exp(score[k]).sum() for k in s]) for s in sets]
+        want = np.zeros_like(score)
+        for s, w in zip(sets, weight, strict=True):
+            for k in s:
+                want[k] += w * np.exp(score[k]) / np.exp(score[k]).sum()
+        assert np.allclose(pii._marginals(n, spans, score), want / sum(weight))

@@ -183,3 +183,30 @@ def test_risk_stays_right_when_positives_are_common():
     m = qc.fit(good[:2000], unl)
     assert 0.5 < m.prior < 0.95
     assert (m.score(good[:2000]) > 0.5).mean() > 0.9 and (m.score(bad[2000:]) < 0.5).mean() > 0.9
+
+
+def test_machine_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(6)
+    m = tx.Machine(np.arange(20), 0.3, rng.normal(size=20), rng.normal(size=(20, 5)))
+    for size in (0, 1, 2, 7, 20):
+        r = np.sort(rng.choice(20, size, replace=False))
+        raw = 0.3 + sum(m.w[i] for i in r) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(r, 2))
+        assert m.score_terms([r])[0] == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_no_nearby_weights_have_a_smaller_risk():
+    """The stated risk, written out, at the fit and around it."""
+    rng = np.random.default_rng(5)
+    pos, unl = rng.normal(0, 1, (1500, qc.FEATURES)), np.vstack([rng.normal(0, 1, (1400, qc.FEATURES)), rng.normal(0.4, 1, (600, qc.FEATURES))])
+    m = qc.fit(pos, unl, steps=3000, rate=0.01, l2=0.02, prior=0.7)  # strong enough a penalty that the bound at zero stays away
+
+    def risk(w, bias):
+        f = lambda x: (x[:, :, None] > m.edges[None]).reshape(len(x), -1) @ w + bias
+        loss = lambda v: np.log1p(np.exp(-v)).mean()
+        p, u = f(pos), f(unl)
+        return 0.7 * loss(p) + max(0.0, loss(-u) - 0.7 * loss(-p)) + 0.01 * (w @ w + bias * bias)
+
+    best = risk(m.weights, m.bias)
+    for scale in (0.02, 0.1, 0.5):
+        for _ in range(40):
+            assert risk(m.weights + scale * rng.normal(size=len(m.weights)), m.bias + scale * rng.normal()) > best - 2e-4
