@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .operators.absorb import Demeaner
 from .operators.glm import GlmModel
-from .operators.model import LinearModel, Options, Vcov
+from .operators.model import Given, LinearModel, Options, Vcov, moments_by, pooled
+from .operators.moments import WIDE
 from .operators.ols import Ssc
-from .plans.design import DesignState, build
+from .plans.design import Builder, DesignState, build
 from .plans.formula import Formula
 
 
@@ -83,7 +84,8 @@ def _samples(data: DataFrame, split: str | None, fsplit: str | None) -> list[tup
     return whole + [((by, v), data.where(c == F.lit(v))) for v in values]
 
 
-def _estimate(fml: str, data: DataFrame, make: Callable, vcov: Vcov, vcov_kwargs: dict | None, split: str | None, fsplit: str | None, cache: bool, **spec) -> LinearModel | MultiModel:
+def _estimate(fml: str, data: DataFrame, make: Callable, vcov: Vcov, vcov_kwargs: dict | None, split: str | None, fsplit: str | None, cache: bool, grouped: bool = False, **spec) -> LinearModel | MultiModel:
+    """make(design, data, sample, given). grouped: samples of a plain formula may share one aggregation."""
     formulas = Formula.parse(fml)
     models: dict[str, LinearModel] = {}
     samples = _samples(data, split, fsplit)
@@ -93,19 +95,36 @@ def _estimate(fml: str, data: DataFrame, make: Callable, vcov: Vcov, vcov_kwargs
         data = data.select(*[F.col(f"`{c}`") for c in data.columns if c in used]).persist()
         samples = _samples(data, split, fsplit)
     try:
+        shared = _shared_moments(formulas, data, split or fsplit, spec) if grouped and len(samples) > 1 else {}
         for sample, part in samples:
             state = DesignState()
             for f in formulas:
-                model = make(build(f, part, state=state, **spec), part, sample)
+                given = None
+                if f.text in shared:
+                    of = shared[f.text]
+                    given = (pooled(list(of.values())) if sample[1] == "all" and fsplit and sample is samples[0][0] else of.get(sample[1])) if of else None
+                model = make(build(f, part, state=state, **spec), part, sample, given)
                 model.vcov(vcov, vcov_kwargs)
                 name = f.text if sample is None else f"{f.text} (Sample: {sample[0]} = {sample[1]})"
-                models[name] = model
+                models[name if name not in models else f"{name} ({len(models)})"] = model  # a value may be called as the whole sample is
     finally:
         if keep:
             data.unpersist()
     return next(iter(models.values())) if len(models) == 1 else MultiModel(models)
 
 
+def _shared_moments(formulas: list[Formula], data: DataFrame, by: str, spec: dict) -> dict[str, dict[Any, Given]]:
+    """By formula without effects, instruments and terms that learn from their sample: the moments of all samples."""
+    b = Builder(data, DesignState(), spec.get("context"))
+    out = {}
+    for f in formulas:
+        learns = any(b.is_factor(n) or (n.kind == "call" and n.value in ("poly", "C", "i")) for t in f.exogenous for n in t)
+        if f.fixed_effects or f.is_iv or learns or len(f.exogenous) + 2 > WIDE:
+            continue
+        out[f.text] = moments_by(build(f, data.where(F.col(f"`{by}`").isNotNull()), state=DesignState(), **spec), by)
+    return out
+
+
 def _columns_of(f: Formula) -> set[str]:
     out = f.dependent.names() | {p for parts in f.fixed_effects for p in parts}
     for t in (*f.exogenous, *f.endogenous, *f.instruments):
@@ -138,7 +157,7 @@ def feols(
 ) -> LinearModel | MultiModel:
     """Least squares with fixed effects and instruments; several models come as a MultiModel."""
     options = _options(ssc, weights_type, collin_tol, solver, fixef_rm, tol, max_iter, max_cells, demeaner)
-    return _estimate(fml, _checked(data), lambda d, part, s: LinearModel(d, part, options, s), vcov, vcov_kwargs, split, fsplit, cache, weights=weights, drop_intercept=drop_intercept, context=context)
+    return _estimate(fml, _checked(data), lambda d, part, s, given: LinearModel(d, part, options, s, given), vcov, vcov_kwargs, split, fsplit, cache, grouped=True, weights=weights, drop_intercept=drop_intercept, context=context)
 
 
 def feglm(
@@ -154,7 +173,7 @@ def feglm(
     options = _options(ssc, weights_type, collin_tol, "scipy.linalg.solve", fixef_rm, tol, max_iter, max_cells, demeaner)
     checks = ["fe"] if separation_check is None else separation_check
 
-    def make(d, part, s):
+    def make(d, part, s, given):
         return GlmModel(d, part, options, s, family=family, iwls_tol=iwls_tol, iwls_maxiter=iwls_maxiter, separation=checks if family == "poisson" else [])
 
     return _estimate(fml, _checked(data), make, vcov, vcov_kwargs, split, fsplit, cache, weights=weights, offset=offset, drop_intercept=drop_intercept, context=context)

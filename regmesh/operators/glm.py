@@ -89,7 +89,7 @@ class GlmModel(LinearModel):
         if family not in FAMILIES:
             raise ValueError(f"family is one of {sorted(FAMILIES)}")
         self.family, self.iwls_tol, self.iwls_maxiter, self.separation = FAMILIES[family], iwls_tol, iwls_maxiter, separation or []
-        self.normal_inference = self.family.normal
+        self.normal_inference, self._given = self.family.normal, None
         super().__init__(design, data, options, sample)
 
     # --- sample ----------------------------------------------------------------

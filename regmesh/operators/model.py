@@ -22,12 +22,25 @@ from ..functions import distributions as dist
 from ..plans.design import Design, build, project
 from ..scratch import cut
 from .absorb import MAX_CELLS, Absorbed, absorb, drop_singletons
-from .moments import moments, pairs, product_sums, rough_centre, square
+from .moments import moments, moments_with, pairs, product_sums, rough_centre, square
 from .ols import Ssc, independent_columns, solve, spd_inverse
 
 Vcov = str | dict[str, str] | None
 
 
+def moments_by(design: Design, by: str) -> dict[Any, Given]:
+    """By value of a column the moments of a design without effects, instruments and factors: one aggregation for all samples."""
+    names = ["__y", *[c for c, n in zip(design.x, design.x_names, strict=True) if n != "Intercept"]]
+    centre = rough_centre(design.frame, names) if "Intercept" in design.x_names else np.zeros(len(names))
+    cols = [F.lit(1.0), *[F.col(c) - F.lit(float(v)) for c, v in zip(names, centre, strict=True)]]
+    rows = design.frame.groupBy(F.col(f"`{by}`")).agg(F.count(F.lit(1)), F.min(design.w), *product_sums(cols, design.w)).collect()
+    return {r[0]: Given(centre, float(r[1]), square(r[3:], len(cols)), r[2]) for r in rows}
+
+
+def pooled(parts: list[Given]) -> Given:
+    return Given(parts[0].centre, sum(p.n for p in parts), sum(p.m for p in parts), min(p.w_min for p in parts))
+
+
 def _linear(cols: list[Column], beta) -> Column:
     terms = [c * F.lit(float(b)) for c, b in zip(cols, beta, strict=True)]
     return reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
@@ -49,14 +62,24 @@ class Options:
     max_cells: int = MAX_CELLS
 
 
+@dataclass
+class Given:
+    """Moments of a sample that were gathered together with those of others: of [1, columns less their centre]."""
+
+    centre: np.ndarray
+    n: float
+    m: np.ndarray
+    w_min: float | None
+
+
 class LinearModel:
     """A fitted OLS, WLS or 2SLS model."""
 
     method = "feols"
     normal_inference = False
 
-    def __init__(self, design: Design, data: DataFrame, options: Options, sample: tuple[str, Any] | None = None):
-        self.design, self.data, self.options, self.sample = design, data, options, sample
+    def __init__(self, design: Design, data: DataFrame, options: Options, sample: tuple[str, Any] | None = None, given: Given | None = None):
+        self.design, self.data, self.options, self.sample, self._given = design, data, options, sample, given
         self.frame = design.frame
         self.n_dropped_singletons = 0
         if design.fe and options.fixef_rm == "singleton":
@@ -87,18 +110,18 @@ class LinearModel:
         xs, zs = self._columns()
         names = ["__y", *xs, *zs]
         if d.weighted:
-            self._check_weights(self.frame.agg(F.min("__w")).first()[0])
+            self._check_weights(self._given.w_min if self._given else self.frame.agg(F.min("__w")).first()[0])
         self.intercept = "Intercept" in d.x_names
         free = not self.intercept and not d.fe
-        self.centre = np.zeros(len(names)) if free else rough_centre(self.frame, names)
+        self.centre = self._given.centre if self._given else np.zeros(len(names)) if free else rough_centre(self.frame, names)
         self.cols = [F.col(c) - F.lit(float(m)) if m else F.col(c) for c, m in zip(names, self.centre, strict=True)]
         self.names_all = names
         if d.fe:
             got = absorb(self.frame, self.cols, d.w, d.f, self.options.tol, self.options.max_iter, self.options.max_cells)
             gram, means = got.gram, got.sums / max(got.sum_w, 1e-300)
         else:
-            n, sums, m = moments(self.frame, self.cols, d.w)
-            got = Absorbed(n, m[0, 0], sums[1:], m[1:, 1:], m[1:, 1:], [])
+            n, m = (self._given.n, self._given.m) if self._given else moments(self.frame, self.cols, d.w)[::2]
+            got = Absorbed(n, m[0, 0], m[0, 1:], m[1:, 1:], m[1:, 1:], [])
             means = got.sums / max(got.sum_w, 1e-300)
             gram = m[1:, 1:] - np.outer(means, means) * got.sum_w if self.intercept else m[1:, 1:]
         if not got.n:
@@ -221,10 +244,13 @@ class LinearModel:
             scale = scale / (F.lit(1.0) - h if name == "HC2" else F.pow(F.lit(1.0) - h, 2))
         return moments(rows, m, scale)[2][1:, 1:]
 
-    def _cluster_checks(self, clusters: list[str], rows: DataFrame) -> None:
+    def _cluster_columns(self, clusters: list[str]) -> None:
         for c in clusters:
             if c not in self.data.columns:
                 raise VcovTypeNotSupportedError(f"no cluster column {c!r} in the data")
+
+    def _cluster_checks(self, clusters: list[str], rows: DataFrame) -> None:
+        self._cluster_columns(clusters)
         null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in clusters])
         if rows.where(null).limit(1).count():
             raise NanInClusterVarError("a cluster variable has null values")
@@ -247,7 +273,7 @@ class LinearModel:
         if kind == "CRV3" and self.is_iv:
             raise VcovTypeNotSupportedError("CRV3 is not available with instruments")
         rows = self.score_rows()
-        self._cluster_checks(clusters, self.frame)
+        self._cluster_columns(clusters) if kind == "CRV1" and self.k else self._cluster_checks(clusters, self.frame)  # the meat looks for nulls itself
         sets = [[c] for c in clusters] + ([clusters] if len(clusters) > 1 else [])
         meats, counts = [], []
         for s in sets:
@@ -274,7 +300,10 @@ class LinearModel:
         if not self.k:
             return np.zeros((0, 0)), rows.select(*[F.col(f"`{c}`") for c in clusters]).distinct().count()
         sums = rows.groupBy(*[F.col(f"`{c}`") for c in clusters]).agg(*[F.sum(s).alias(f"g{j}") for j, s in enumerate(self._s)])
-        n, _, m = moments(sums, [F.col(f"g{j}") for j in range(self.k)], F.lit(1.0))
+        null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in clusters])
+        n, m, nulls = moments_with(sums, [F.col(f"g{j}") for j in range(self.k)], F.lit(1.0), null.cast("double"))
+        if nulls:
+            raise NanInClusterVarError("a cluster variable has null values")
         return m[1:, 1:], int(n)
 
     def _jackknife(self, clusters: list[str]) -> np.ndarray:

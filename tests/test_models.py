@@ -202,6 +202,17 @@ def test_multiple_models_and_samples(data):
     assert [m.sample[1] for m in halves.to_list()] == ["all", "a", "b"] and halves[0].n == halves[1].n + halves[2].n
 
 
+def test_samples_share_one_aggregation(data):
+    d = data.withColumn("part", F.when(F.col("f2") < 3, "a").when(F.col("f2") < 6, "b").when(F.col("f2") < 8, "all"))
+    for w in (None, "weights"):
+        ms = feols("Y + Y2 ~ X1 + I(X2**2)", d, fsplit="part", weights=w, vcov="HC1").to_list()
+        assert len(ms) == 8 and sum(m._given is not None for m in ms) == 8
+        for m in ms:
+            one = feols(f"{m.formula.depvar} ~ X1 + I(X2**2)", d.where(F.col("part").isNotNull() if m is ms[0] or m is ms[1] else F.col("part") == m.sample[1]), weights=w, vcov="HC1")
+            assert np.allclose(m.beta, one.beta, atol=1e-9) and np.allclose(m.V, one.V, atol=1e-9) and m.n == one.n and np.isclose(m.r2, one.r2)
+    assert feols("Y ~ C(f1)", d, split="part").to_list()[0]._given is None
+
+
 def test_prediction_and_effects(spark, data, frame):
     m = feols("Y ~ X1 + X2 | f1 + f2", data)
     got = m.predict().select("Y", "fit").join(m.resid().select("Y", "resid"), "Y").toPandas()
