@@ -7,12 +7,12 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators.absorb import Demeaner
 from .operators.glm import GlmModel
-from .operators.model import Given, LinearModel, Options, Vcov, moments_by, pooled
+from .operators.model import Given, LinearModel, Options, Vcov, pooled, shared_moments
 from .operators.moments import WIDE
 from .operators.ols import Ssc
 from .plans.design import Builder, DesignState, build
@@ -85,7 +85,7 @@ def _samples(data: DataFrame, split: str | None, fsplit: str | None) -> list[tup
 
 
 def _estimate(fml: str, data: DataFrame, make: Callable, vcov: Vcov, vcov_kwargs: dict | None, split: str | None, fsplit: str | None, cache: bool, grouped: bool = False, **spec) -> LinearModel | MultiModel:
-    """make(design, data, sample, given). grouped: samples of a plain formula may share one aggregation."""
+    """make(design, data, sample, given). grouped: plain formulas and their samples may share one aggregation."""
     formulas = Formula.parse(fml)
     models: dict[str, LinearModel] = {}
     samples = _samples(data, split, fsplit)
@@ -95,14 +95,15 @@ def _estimate(fml: str, data: DataFrame, make: Callable, vcov: Vcov, vcov_kwargs
         data = data.select(*[F.col(f"`{c}`") for c in data.columns if c in used]).persist()
         samples = _samples(data, split, fsplit)
     try:
-        shared = _shared_moments(formulas, data, split or fsplit, spec) if grouped and len(samples) > 1 else {}
+        shared = _shared_moments(formulas, data, split or fsplit, spec) if grouped and len(samples) * len(formulas) > 1 else {}
         for sample, part in samples:
             state = DesignState()
             for f in formulas:
                 given = None
                 if f.text in shared:
                     of = shared[f.text]
-                    given = (pooled(list(of.values())) if sample[1] == "all" and fsplit and sample is samples[0][0] else of.get(sample[1])) if of else None
+                    whole = fsplit and sample is samples[0][0]
+                    given = (pooled(list(of.values())) if whole else of.get(sample[1] if sample else 0)) if of else None
                 model = make(build(f, part, state=state, **spec), part, sample, given)
                 model.vcov(vcov, vcov_kwargs)
                 name = f.text if sample is None else f"{f.text} (Sample: {sample[0]} = {sample[1]})"
@@ -113,16 +114,19 @@ def _estimate(fml: str, data: DataFrame, make: Callable, vcov: Vcov, vcov_kwargs
     return next(iter(models.values())) if len(models) == 1 else MultiModel(models)
 
 
-def _shared_moments(formulas: list[Formula], data: DataFrame, by: str, spec: dict) -> dict[str, dict[Any, Given]]:
-    """By formula without effects, instruments and terms that learn from their sample: the moments of all samples."""
+def _shared_moments(formulas: list[Formula], data: DataFrame, by: str | None, spec: dict) -> dict[str, dict[Any, Given]]:
+    """By formula with an intercept, without effects, instruments and terms that learn from their sample: the moments of all samples."""
     b = Builder(data, DesignState(), spec.get("context"))
-    out = {}
+    wanted: dict[str, list[tuple[str, Column]]] = {}
     for f in formulas:
         learns = any(b.is_factor(n) or (n.kind == "call" and n.value in ("poly", "C", "i")) for t in f.exogenous for n in t)
-        if f.fixed_effects or f.is_iv or learns or len(f.exogenous) + 2 > WIDE:
+        if f.fixed_effects or f.is_iv or learns or not f.intercept or spec.get("drop_intercept") or b.is_factor(f.dependent):
             continue
-        out[f.text] = moments_by(build(f, data.where(F.col(f"`{by}`").isNotNull()), state=DesignState(), **spec), by)
-    return out
+        wanted[f.text] = [(f"y {f.depvar}", b.scalar(f.dependent)), *[(f"x {c.name}", c.column) for t in f.exogenous for c in b.term(t, True)]]
+    if len(wanted) * (2 if by else 1) < 2 or len({k for c in wanted.values() for k, _ in c}) + 1 > WIDE:
+        return {}
+    w = F.col(f"`{spec['weights']}`").cast("double") if spec.get("weights") else F.lit(1.0)
+    return shared_moments(data.where(F.col(f"`{by}`").isNotNull()) if by else data, wanted, w, F.col(f"`{by}`") if by else None)
 
 
 def _columns_of(f: Formula) -> set[str]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EmptySampleError, NanInClusterVarError, NonPositiveWeightsError, VcovTypeNotSupportedError
 from ..functions import distributions as dist
-from ..plans.design import Design, build, project
+from ..plans.design import Design, build, finite, project
 from ..scratch import cut
 from .absorb import MAX_CELLS, Absorbed, absorb, drop_singletons
 from .moments import moments, moments_with, pairs, product_sums, rough_centre, square
@@ -28,13 +28,27 @@ from .ols import Ssc, independent_columns, solve, spd_inverse
 Vcov = str | dict[str, str] | None
 
 
-def moments_by(design: Design, by: str) -> dict[Any, Given]:
-    """By value of a column the moments of a design without effects, instruments and factors: one aggregation for all samples."""
-    names = ["__y", *[c for c, n in zip(design.x, design.x_names, strict=True) if n != "Intercept"]]
-    centre = rough_centre(design.frame, names) if "Intercept" in design.x_names else np.zeros(len(names))
-    cols = [F.lit(1.0), *[F.col(c) - F.lit(float(v)) for c, v in zip(names, centre, strict=True)]]
-    rows = design.frame.groupBy(F.col(f"`{by}`")).agg(F.count(F.lit(1)), F.min(design.w), *product_sums(cols, design.w)).collect()
-    return {r[0]: Given(centre, float(r[1]), square(r[3:], len(cols)), r[2]) for r in rows}
+def shared_moments(data: DataFrame, wanted: dict[str, list[tuple[str, Column]]], w: Column, by: Column | None) -> dict[str, dict[Any, Given]]:
+    """Moments of several models (a name to its columns, the outcome first) in several samples (values of by): one aggregation.
+
+    Rows are those that are complete in all columns. A model that has more rows of its own in some sample is left out.
+    """
+    named = {k: c for cols in wanted.values() for k, c in cols}
+    at = {k: i for i, k in enumerate(named)}
+    rows = data.select((F.lit(0) if by is None else by).alias("by"), w.alias("w"), *[c.cast("double").alias(f"u{i}") for i, c in enumerate(named.values())]).where(finite("w"))
+    complete = reduce(lambda a, b: a & b, [finite(f"u{i}") for i in range(len(named))])
+    centre = rough_centre(rows.where(complete), [f"u{i}" for i in range(len(named))])
+    cols = [F.lit(1.0), *[F.col(f"u{i}") - F.lit(float(v)) for i, v in enumerate(centre)]]
+    own = [F.sum(reduce(lambda a, b: a & b, [finite(f"u{at[k]}") for k, _ in c]).cast("long")) for c in wanted.values()]
+    inside = F.when(complete, F.col("w"))
+    got = rows.groupBy("by").agg(F.sum(complete.cast("long")), F.min(inside), *own, *product_sums(cols, inside)).collect()
+    out: dict[str, dict[Any, Given]] = {}
+    for j, (name, c) in enumerate(wanted.items()):
+        if all(r[3 + j] == r[1] for r in got):
+            sel = [at[k] for k, _ in c]
+            wide = [0, *[i + 1 for i in sel]]
+            out[name] = {r[0]: Given(centre[sel], float(r[1]), square(r[3 + len(wanted) :], len(cols))[np.ix_(wide, wide)], r[2]) for r in got if r[1]}
+    return out
 
 
 def pooled(parts: list[Given]) -> Given:

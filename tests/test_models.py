@@ -211,6 +211,13 @@ def test_samples_share_one_aggregation(data):
             one = feols(f"{m.formula.depvar} ~ X1 + I(X2**2)", d.where(F.col("part").isNotNull() if m is ms[0] or m is ms[1] else F.col("part") == m.sample[1]), weights=w, vcov="HC1")
             assert np.allclose(m.beta, one.beta, atol=1e-9) and np.allclose(m.V, one.V, atol=1e-9) and m.n == one.n and np.isclose(m.r2, one.r2)
     assert feols("Y ~ C(f1)", d, split="part").to_list()[0]._given is None
+    full = data.dropna()
+    for d, shared in ((full, 4), (data, 0)):  # with gaps that differ by regressor, models keep their own rows
+        ms = feols("Y2 ~ csw0(X1, X2, Z1)", d, vcov="HC1").to_list()
+        assert sum(m._given is not None for m in ms) == (shared if shared else sum(m.n == ms[-1].n for m in ms))
+        for m in ms:
+            one = feols(m.formula.text, d, vcov="HC1")
+            assert np.allclose(m.beta, one.beta, atol=1e-9) and np.allclose(m.V, one.V, atol=1e-9) and m.n == one.n
 
 
 def test_prediction_and_effects(spark, data, frame):
