@@ -15,8 +15,8 @@ a few partial aggregations, so a hot group never meets in one task.
 
 Defined results: a null text has no words and fails the base rule; a null lang or
 source is the empty group name; groups under ``min_rows`` are pooled by language,
-and those still smaller over all languages; rows at the bound of the fraction h count
-all, so ties do not depend on an order; an empty table gives an empty result; repeated
+and those still smaller over all languages; rows in the band of distances that completes
+the fraction h count by the share that is needed, so ties do not depend on an order; an empty table gives an empty result; repeated
 rows each get their own row; other columns are ignored.
 """
 
@@ -27,7 +27,7 @@ import re
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, text_of
@@ -166,6 +166,7 @@ def _invert(groups: DataFrame, target: np.ndarray, ridge: float) -> DataFrame:
     return arrow_map(groups.select("grp", "start", "m", "c"), fn, "grp string, start int, m array<double>, p array<double>, det double")
 
 
+BANDS = 16  # bands of squared distance to a factor of two
 #: Groups whose estimates, some 600 bytes each, are sent to all tasks; more are joined by shuffle, where AQE splits a hot group.
 FEW = 20_000
 
@@ -241,15 +242,20 @@ def fit_mcd(rows: DataFrame, scratch: Scratch, h: float = 0.75, ridge: float = 0
     size = rows.select("grp").distinct().count() if groups is None else groups
     target = pooled_scales(rows)
 
+    z = [x - F.col("m")[i] for i, x in enumerate(xs)]  # centred: no cancellation in the sums
+    kept = ["n", *[f"t{i}" for i in range(DIMS)], *[f"c{i}_{j}" for i, j in _pairs()]]
+
     def concentrate(params: DataFrame) -> DataFrame:
-        """One step for each start of each group."""
+        """One step for each start of each group: sums by group, start and narrow band of the distance, in one pass; the
+        nearest bands make up the fraction, the last one by the share of it that is needed."""
         held = params.groupBy("grp").agg(F.collect_list(F.struct("start", "m", "p")).alias("starts"))  # three at most
         near = _beside(rows, held, ["grp"], size).select("grp", "x", F.explode("starts").alias("e")).select("grp", "x", "e.start", "e.m", "e.p")
-        near = near.select("grp", "start", "m", "x", _distance([x - F.col("m")[i] for i, x in enumerate(xs)]).alias("d2"))
-        bound = scratch.cut(near.groupBy("grp", "start").agg(F.percentile_approx("d2", h, 1000).alias("q")))
-        core = _beside(near, bound, ["grp", "start"], size).where(F.col("d2") <= F.col("q"))
-        z = [x - F.col("m")[i] for i, x in enumerate(xs)]  # centred: no cancellation in the sums
-        sums = core.groupBy("grp", "start", "m").agg(*_sums(z))
+        band = F.floor(BANDS * F.log2(F.greatest(_distance(z), F.lit(1e-9)))).cast("int")
+        bands = near.groupBy("grp", "start", band.alias("band")).agg(F.first("m").alias("m"), *_sums(z))
+        own = Window.partitionBy("grp", "start")
+        before = F.coalesce(F.sum("n").over(own.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.ceil(F.lit(h) * F.sum("n").over(own)) - before) / F.col("n")))
+        sums = bands.withColumn("share", share).groupBy("grp", "start").agg(F.first("m").alias("m"), *[F.sum(F.col(c) * F.col("share")).alias(c) for c in kept])
         again = sums.select("grp", "start", F.array(*[F.col("m")[i] + F.col(f"t{i}") / F.col("n") for i in range(DIMS)]).alias("m"), _centred().alias("c"))
         return scratch.cut(_invert(again, target, ridge))
 
@@ -257,15 +263,16 @@ def fit_mcd(rows: DataFrame, scratch: Scratch, h: float = 0.75, ridge: float = 0
     for _ in range(2):
         params = concentrate(params)
     best = params.groupBy("grp").agg(F.min(F.struct("det", "start", "m", "p")).alias("b")).select("grp", "b.start", "b.m", "b.p", "b.det")
-    now = scratch.cut(best)
+    now, done = scratch.cut(best), []
     for _ in range(steps):
         after = concentrate(now)
-        fall = now.select("grp", F.col("det").alias("before")).join(after, "grp").agg(F.max(F.col("before") - F.col("det"))).first()[0] or 0.0
-        scratch.drop(now)
-        now = after
-        if fall < tol:
+        fell = after.join(now.select("grp", F.col("det").alias("before")), "grp").withColumn("fell", F.col("before") - F.col("det") > tol)
+        done.append(scratch.cut(fell.where(~F.col("fell")).select("grp", "m", "p")))
+        now = scratch.cut(fell.where("fell").drop("before", "fell"))  # only these go on
+        if now.isEmpty():
             break
-    return now.select("grp", "m", F.transform("p", lambda v: v / F.lit(consistency(h))).alias("p"))
+    found = reduce(lambda a, b: a.unionByName(b), [*done, now.select("grp", "m", "p")])
+    return found.select("grp", "m", F.transform("p", lambda v: v / F.lit(consistency(h))).alias("p"))
 
 
 def quality_rules(docs: DataFrame, h: float = 0.75, ridge: float = 0.1, level: float = 1e-10, min_rows: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
