@@ -348,7 +348,7 @@ def _balanced(spark: SparkSession, sf: str) -> DataFrame:
     wide = cell.groupBy("user_id").pivot("t", list(range(10))).agg(F.avg("value")).na.fill(0.0)
     p = wide.select("user_id", F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col(str(k)).alias("y")) for k in range(10)])).alias("r")).select("user_id", "r.t", "r.y")
     k = F.col("user_id") % 3
-    return p.withColumn("g", F.when(k == 0, 0).when(k == 1, 4).otherwise(6))
+    return p.withColumn("g", F.when(k == 0, 0).when(k == 1, 4).otherwise(6)).persist()  # ten rows a user, read by every pass of a fit
 
 
 _BAL = """

@@ -125,16 +125,16 @@ def test_crv3_and_hc(data, frame):
 @pytest.mark.parametrize("family", ["poisson", "logit", "probit", "gaussian"])
 def test_crv3_of_other_families_refits(spark, family):
     rng = np.random.default_rng(7)
-    g = rng.integers(0, 12, 400)
+    g = rng.integers(0, 5, 400)
     x = rng.normal(size=400)
-    eta = 0.4 * x + 0.3 * rng.normal(size=12)[g]
+    eta = 0.4 * x + 0.3 * rng.normal(size=5)[g]
     y = rng.poisson(np.exp(eta)) if family == "poisson" else (rng.random(400) < 1 / (1 + np.exp(-eta))).astype(int) if family != "gaussian" else eta + rng.normal(size=400)
     p = pd.DataFrame({"y": y.astype(float), "x": x, "g": g, "o": 0.1 * x if family == "poisson" else 0.0, "w": rng.uniform(0.5, 2, 400)})
     d = spark.createDataFrame(p)
     how = {"offset": "o"} if family == "poisson" else {}
     m = feglm("y ~ x", d, family, vcov={"CRV3": "g"}, weights="w", **how)
-    dev = np.array([feglm("y ~ x", spark.createDataFrame(p[p.g != k]), family, weights="w", iwls_tol=1e-12, **how).beta - m.beta for k in range(12)])
-    assert np.allclose(m.V, dev.T @ dev * 12 / 11 * 399 / 398, rtol=1e-4)
+    dev = np.array([feglm("y ~ x", spark.createDataFrame(p[p.g != k]), family, weights="w", iwls_tol=1e-12, **how).beta - m.beta for k in range(5)])
+    assert np.allclose(m.V, dev.T @ dev * 5 / 4 * 399 / 398, rtol=1e-4)
 
 
 def test_crv3_with_effects_refits_the_same_family(spark):
